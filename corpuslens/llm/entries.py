@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from corpuslens.llm.langid import op9_langid
+from corpuslens.llm.repetition import op5_repetition
 from corpuslens.llm.simhash import op10_simhash
 
 QUERIES: dict[str, Callable] = {
+    "op5_repetition": op5_repetition,
+    "op9_langid": op9_langid,
     "op10_simhash": op10_simhash,
 }
 
