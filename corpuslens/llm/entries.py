@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from corpuslens.llm.langid import op9_langid
+from corpuslens.llm.mixing import op2_entropy_mix
 from corpuslens.llm.packing import op4_packing
 from corpuslens.llm.repetition import op5_repetition
 from corpuslens.llm.simhash import op10_simhash
 from corpuslens.llm.wavelet import op7_wavelet
 
 QUERIES: dict[str, Callable] = {
+    "op2_entropy_mix": op2_entropy_mix,
     "op4_packing": op4_packing,
     "op5_repetition": op5_repetition,
     "op7_wavelet": op7_wavelet,
