@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from corpuslens.llm.brown import op3_brown
 from corpuslens.llm.langid import op9_langid
 from corpuslens.llm.mixing import op2_entropy_mix
 from corpuslens.llm.packing import op4_packing
@@ -13,6 +14,7 @@ from corpuslens.llm.wavelet import op7_wavelet
 
 QUERIES: dict[str, Callable] = {
     "op2_entropy_mix": op2_entropy_mix,
+    "op3_brown": op3_brown,
     "op4_packing": op4_packing,
     "op5_repetition": op5_repetition,
     "op7_wavelet": op7_wavelet,
