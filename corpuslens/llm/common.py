@@ -40,3 +40,13 @@ def arrow_map(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict[st
             yield pa.RecordBatch.from_pydict(fn(batch))
 
     return df.mapInArrow(run, schema)
+
+
+def arrow_filter(df: DataFrame, needs: list[str], keep: Callable[[pa.RecordBatch], object], rows: int = SLICE) -> DataFrame:
+    """Rows of df, all columns as they are, for which keep says yes; keep sees the columns of needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, rows):
+            yield batch.filter(pa.array(keep(batch.select(needs)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import arrow_map, id_bucket, utf8
+from corpuslens.llm.common import arrow_filter, arrow_map, id_bucket, utf8
 
 #: Rows that training reads at most.
 SAMPLE = 2000
@@ -107,27 +107,35 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     return Model(langs, x, np.array([at[k] for k in got.column("lang").to_pylist()], int))
 
 
-def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str | Column] | None = None) -> DataFrame:
+def decided(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+    known = [i for i, t in enumerate(texts) if model.langs and t and LETTER.search(t.decode("utf-8", "replace"))]
+    if known:
+        best, score = model.decode(np.stack([features(texts[i]) for i in known]))
+        for i, k, s in zip(known, best.tolist(), score.tolist()):
+            langs[i], scores[i] = model.langs[k], s
+    return langs, scores
+
+
+def predict(df: DataFrame, model: Model, keep: list[str | Column], text_col: str = "text") -> DataFrame:
     """keep's columns with lang_pred, score and ambiguous."""
-    kept = df.select(*(keep if keep is not None else ["*"]), F.col(text_col).alias("__text"))
-    names = kept.columns[:-1]
+    kept = df.select(*keep, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1]) + ", lang_pred string, score double, ambiguous boolean"
-    fields = {c: i for i, c in enumerate(names)}
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts = utf8(batch, "__text")
-        langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-        known = [i for i, t in enumerate(texts) if model.langs and t and LETTER.search(t.decode("utf-8", "replace"))]
-        if known:
-            best, score = model.decode(np.stack([features(texts[i]) for i in known]))
-            for i, k, s in zip(known, best.tolist(), score.tolist()):
-                langs[i], scores[i] = model.langs[k], s
-        out = {c: batch.column(i) for c, i in fields.items()}
+        langs, scores = decided(model, utf8(batch, "__text"))
+        out = {c: batch.column(i) for i, c in enumerate(batch.schema.names[:-1])}
         return out | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores), "ambiguous": pa.array(scores < MARGIN)}
 
     return arrow_map(kept, schema, run)
 
 
+def recognised(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Rows of df whose language is found without ambiguity."""
+    return arrow_filter(df, [text_col], lambda batch: decided(model, utf8(batch, text_col))[1] >= MARGIN)
+
+
 def op9_langid(spark, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score and ambiguous of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

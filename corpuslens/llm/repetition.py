@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpuslens.llm.common import arrow_map, utf8
+from corpuslens.llm.common import arrow_filter, arrow_map, utf8
 
 #: Window lengths in words, and the share of characters that windows found twice or more may cover.
 LIMITS = {5: 0.50, 10: 0.40}
@@ -97,22 +97,32 @@ def rolled(ids: np.ndarray, n: int) -> np.ndarray:
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup_{n}gram_chars" for n in LIMITS))
 
 
+def judged(texts: list[bytes]) -> dict[str, np.ndarray]:
+    """The measures of texts by name, with base_failed and kept."""
+    rows = np.array([measures(t) for t in texts], np.int64).reshape(-1, len(COLUMNS))
+    by = dict(zip(COLUMNS, rows.T))
+    failed = (by["n_words"] < MIN_WORDS) | (100 * by["n_repeat_words"] > 50 * by["n_words"])
+    kept = ~failed & (by["dup_line_chars"] <= LINE_LIMIT * by["word_chars"])
+    for n, limit in LIMITS.items():
+        kept &= by[f"dup_{n}gram_chars"] <= limit * by["word_chars"]
+    return by | {"base_failed": failed, "kept": kept}
+
+
 def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The measures of every row with base_failed and kept."""
     schema = f"doc_id long, {', '.join(f'{c} long' for c in COLUMNS)}, base_failed boolean, kept boolean"
 
     def run(batch: pa.RecordBatch) -> dict:
-        rows = np.array([measures(t) for t in utf8(batch, "text")], np.int64).reshape(-1, len(COLUMNS))
-        by = dict(zip(COLUMNS, rows.T))
-        failed = (by["n_words"] < MIN_WORDS) | (100 * by["n_repeat_words"] > 50 * by["n_words"])
-        kept = ~failed & (by["dup_line_chars"] <= LINE_LIMIT * by["word_chars"])
-        for n, limit in LIMITS.items():
-            kept &= by[f"dup_{n}gram_chars"] <= limit * by["word_chars"]
-        return {"doc_id": batch.column(0).cast(pa.int64())} | {c: pa.array(x) for c, x in by.items()} | {"base_failed": pa.array(failed), "kept": pa.array(kept)}
+        return {"doc_id": batch.column(0).cast(pa.int64())} | {c: pa.array(x) for c, x in judged(utf8(batch)).items()}
 
     return arrow_map(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), schema, run)
 
 
+def passing(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows of docs that the rules keep."""
+    return arrow_filter(docs, [text_col], lambda batch: judged(utf8(batch, text_col))["kept"])
+
+
 def op5_repetition(spark, sf_dir: str) -> DataFrame:
     """The base columns, the coverage counts and the verdict of all documents."""
     return repetition(spark.read.parquet(f"{sf_dir}/documents.parquet"))
