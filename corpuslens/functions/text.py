@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,20 +71,23 @@ def permutations(n: int = 128, seed: int = 20260824) -> list[tuple[int, int]]:
     return out
 
 
-def permuted(h: Column, a: Column, b: Column) -> Column:
+def permuted(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """(a * h + b) mod PRIME for h below 2**32 and a below 2**47, without overflow: the product is taken in two parts."""
-    m = F.lit(PRIME)
-    high = (h * F.shiftright(a, 30)) % m
-    turned = F.shiftleft(high, 30).bitwiseAND(m).bitwiseOR(F.shiftright(high, 31))
-    return (turned % m + (h * a.bitwiseAND(F.lit((1 << 30) - 1))) % m + b) % m
+    m, low = np.uint64(PRIME), np.uint64((1 << 30) - 1)
+    high = h * (a >> np.uint64(30)) % m
+    turned = (high << np.uint64(30) & m) | (high >> np.uint64(31))
+    return (turned % m + h * (a & low) % m + b) % m
 
 
 def signature(shingle_set: Column, n: int = 128, seed: int = 20260824) -> Column:
-    """MinHash signature of a set of strings; null for an empty set."""
-    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in permutations(n, seed)))
-    hashed = F.array(F.transform(shingle_set, crc))
-    own = F.transform(hashed, lambda hs: F.transform(pairs, lambda p: F.array_min(F.transform(hs, lambda h: permuted(h, p["a"], p["b"])))))[0]
-    return F.when(F.size(shingle_set) > 0, own)
+    """MinHash signature of a set of strings; null for an empty set. Shingles are hashed by Spark, permuted in numpy over Arrow batches."""
+    a, b = (np.array(x, np.uint64)[:, None] for x in zip(*permutations(n, seed)))
+
+    @F.pandas_udf("array<long>")
+    def least(hashes: pd.Series) -> pd.Series:
+        return hashes.map(lambda h: permuted(np.asarray(h, np.uint64)[None, :], a, b).min(axis=1).astype(np.int64) if len(h) else None)
+
+    return least(F.transform(shingle_set, crc))
 
 
 def record_id(columns: list[str], row: Column, keys: tuple[str, ...] = ("instance_id", "id", "task_id", "_id")) -> Column:

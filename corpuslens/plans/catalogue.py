@@ -405,7 +405,7 @@ def family_halves(spark, sf_dir):
     return C.family_halves(items(spark, sf_dir))
 
 
-@query(f"WITH {HALVES}, s AS (SELECT count_if(outcome = 'older')::BIGINT AS older, count_if(outcome = 'newer')::BIGINT AS newer, count_if(outcome = 'tie')::BIGINT AS tie FROM halves) SELECT older, newer, tie, CASE WHEN older + newer > 0 THEN (older - (older + newer) / 2.0::DOUBLE) / sqrt((older + newer) / 4.0::DOUBLE) END AS z FROM s")
+@query(f"WITH {HALVES}, s AS (SELECT coalesce(count_if(outcome = 'older'), 0)::BIGINT AS older, coalesce(count_if(outcome = 'newer'), 0)::BIGINT AS newer, coalesce(count_if(outcome = 'tie'), 0)::BIGINT AS tie FROM halves) SELECT older, newer, tie, CASE WHEN older + newer > 0 THEN (older - (older + newer) / 2.0::DOUBLE) / sqrt((older + newer) / 4.0::DOUBLE) END AS z FROM s")
 def sign_test(spark, sf_dir):
     return C.sign_test(family_halves(spark, sf_dir))
 
