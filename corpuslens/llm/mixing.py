@@ -140,7 +140,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def taken(docs: DataFrame, **how) -> DataFrame:
     """Rows of docs (doc_id, text, source and any others) as often as the mix takes them; rows with the same id are taken equally often."""
-    own = mixed(docs, **how).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0").withColumnRenamed("doc_id", "__id")
+    own = mixed(docs, **how).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0").withColumnRenamed("doc_id", "__id").hint("shuffle_hash")
     rows = docs.join(own, docs["doc_id"].eqNullSafe(own["__id"]))
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(docs[c] for c in docs.columns))
 

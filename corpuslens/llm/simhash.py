@@ -151,7 +151,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, **how) -> DataFrame:
     """Rows of docs, one document for each component: the one with the smallest id. Rows with the same id count as one document; those without an id stay only if their component has none."""
     own = stage(near_duplicates(docs, **how).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-kept")
-    kept = own.select(F.col("doc_id").alias("__kept"))
+    # the same join at every size: a switch from broadcast to shuffle would hide what larger inputs need
+    kept = own.select(F.col("doc_id").alias("__kept")).hint("shuffle_hash")
     rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
     return rows if own.where("n > 1").isEmpty() else rows.dropDuplicates(["doc_id"])
 

@@ -1 +1 @@
-"""Package sources of corpuslens."""
+"""Readers of record sets, catalogue snapshots and paginated registries."""
