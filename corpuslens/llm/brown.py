@@ -106,8 +106,8 @@ class Table(dict):
         return value
 
 
-def bigrams(train: DataFrame, units: Units) -> np.ndarray:
-    """Counts of unit bigrams over all texts, each between end tokens."""
+def bigrams(train: DataFrame, units: Units) -> DataFrame:
+    """(pair, n) of unit bigrams over all texts, each between end tokens: size * size rows at most."""
     size = units.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,10 +124,23 @@ def bigrams(train: DataFrame, units: Units) -> np.ndarray:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"pair": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
-    got = train.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # size * size rows at most
-    out = np.zeros(size * size)
-    out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(size, size)
+    return train.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def clustered(pairs: DataFrame, size: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each unit and the classes' transitions, from the counts of bigrams. One task does it: the matrix has a fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = np.zeros(size * size)
+        for batch in batches:
+            np.add.at(b, batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        b = b.reshape(size, size)
+        of = exchange(b, classes)
+        yield pa.RecordBatch.from_pydict({"of": pa.array([of.astype("<i8").tobytes()], pa.binary()), "step": pa.array([transitions(b, of, classes).tobytes()], pa.binary())})
+
+    none = pairs.sparkSession.sql("SELECT 0L AS pair, 0L AS n")  # so that there is a row, and a task
+    row = pairs.unionByName(none).repartition(1).mapInArrow(run, "of binary, step binary").first()
+    return np.frombuffer(row["of"], "<i8"), np.frombuffer(row["step"]).reshape(classes, classes)
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -213,10 +226,8 @@ def scored(docs: DataFrame, vocab: DataFrame, held_out=None, top: int = TOP, suf
     n_all, v_all = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     known = frequent(vocab, hot)
     units = Units([w for w, _ in known[:top]], suffixes)
-    b = bigrams(train, units)
-    of = exchange(b, classes)
+    of, step = clustered(bigrams(train, units), units.size, classes)
     n_class, v_class = class_sizes(vocab, units, of, classes)
-    step = transitions(b, of, classes)
     room = np.log10(n_class + v_class + 1)
     shared = docs.sparkSession.sparkContext.broadcast(([w for w, _ in known], np.log10(np.array([c for _, c in known], float) + 1)))
 

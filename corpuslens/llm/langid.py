@@ -15,6 +15,8 @@ get the same values; any length is read whole.
 from __future__ import annotations
 
 import itertools
+import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import arrow_filter, arrow_map, id_bucket, utf8
+from corpuslens.llm.common import arrow_filter, arrow_map, id_bucket, sliced, utf8
 
 #: Rows that training reads at most.
 SAMPLE = 2000
@@ -96,15 +98,19 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     share = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(min(1.0, 1.3 * each / n))) for k, n in counts))
     drawn = rows.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
-    def run(batch: pa.RecordBatch) -> dict:
-        return {"lang": batch.column(1).cast(pa.string()), "x": pa.array([features(t).astype("<f2").tobytes() for t in utf8(batch, "text")], pa.binary())}
-
-    top = drawn.orderBy("h", "id").limit(sample).select("text", "lang")
-    got = arrow_map(top, "lang string, x binary", run).toArrow()
-    x = np.array([np.frombuffer(b, "<f2") for b in got.column("x").to_pylist()], np.float32).reshape(-1, BUCKETS)
-    langs = sorted(set(got.column("lang").to_pylist()))
-    at = {k: i for i, k in enumerate(langs)}
-    return Model(langs, x, np.array([at[k] for k in got.column("lang").to_pylist()], int))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = [np.zeros((0, BUCKETS), np.float32)], []
+        for batch in sliced(batches):
+            x.append(np.stack([features(t) for t in utf8(batch, "text")]))
+            y += batch.column(1).cast(pa.string()).to_pylist()
+        langs = sorted(set(y))
+        model = Model(langs, np.concatenate(x), np.array([langs.index(k) for k in y], int))
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    # learned in one task, of which Spark bounds the threads: the driver's own linear algebra may not survive the JVM's fork
+    top = drawn.orderBy("h", "id").limit(sample).select("text", "lang").coalesce(1)
+    learned = top.mapInArrow(run, "model binary").collect()
+    return pickle.loads(learned[0]["model"]) if learned else Model([], np.zeros((0, BUCKETS)), np.zeros(0, int))
 
 
 def decided(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
