@@ -116,16 +116,19 @@ def absent(c: Column, kind: str = "string") -> Column:
     return c.isNull() | empty
 
 
-#: A repository link: owner and name, not preceded by a dot or word character, which would make it another host.
-REPO = r"(?i)(?<![\w.])github[.]com/([a-z\d][\w.-]{0,38})/([\w.-]{1,100})"
-#: First path segments that are pages of the site.
-SITE_PAGES = tuple(sorted("new pulls issues enterprise security apps blog join login search notifications settings site orgs readme sponsors marketplace trending collections topics explore pricing features about".split()))
-ML_CATEGORIES = tuple(sorted("stat.ML cs.NE cs.AI cs.CL cs.CV cs.LG eess.IV eess.AS cs.SD cs.MM cs.RO cs.IR".split()))
+# Link pattern, site pages, categories and the punctuation that abuts links, which results depend on.
+REPO = r"(?i)(?<![.\w])github\.com/([A-Za-z0-9][A-Za-z0-9_.-]{0,38})/([A-Za-z0-9_.-]{1,100})"
+SITE_PAGES = (
+    "about", "features", "pricing", "explore", "topics", "collections", "trending", "marketplace", "sponsors", "readme", "orgs", "site",
+    "settings", "notifications", "search", "login", "join", "blog", "apps", "security", "enterprise", "issues", "pulls", "new",
+)
+ML_CATEGORIES = ("cs.LG", "cs.CV", "cs.CL", "cs.AI", "cs.NE", "stat.ML", "cs.IR", "cs.RO", "cs.MM", "cs.SD", "eess.AS", "eess.IV")
+LINK_PUNCTUATION = ".,;:)]}'\""
 
 
 def clean_repo(c: Column) -> Column:
     """A repository name without punctuation at its end, then without .git; null for what can't be one."""
-    name = F.regexp_replace(F.regexp_replace(c, r"[\])}.,:;'\"]+$", ""), r"(?i)[.]git$", "")
+    name = F.regexp_replace(F.rtrim(c, F.lit(LINK_PUNCTUATION)), r"(?i)[.]git$", "")
     bad = name.isin("", ".", "..") | name.rlike("(?i)^[0-9a-f]{16,}$") | name.rlike("[-_]$")
     return F.when(~bad, name)
 

@@ -100,9 +100,9 @@ def packages(registry: DataFrame) -> DataFrame:
     return rows.where("registry is not null and identifier is not null").distinct()
 
 
-#: Fields of a crawled model that are kept as they are.
-KEPT = tuple(sorted("supportsGeneration availability allowDifferentLicense allowDerivatives allowCommercialUse allowNoCredit sfwOnly minor poi nsfwLevel nsfw type name id".split()))
-COUNTERS = tuple(sorted(["commentCount", "thumbsDownCount", "thumbsUpCount", "downloadCount"]))
+# Fields of a crawled model that are kept as they are, and its counters.
+KEPT = ("id", "name", "type", "nsfw", "nsfwLevel", "poi", "minor", "sfwOnly", "allowNoCredit", "allowCommercialUse", "allowDerivatives", "allowDifferentLicense", "availability", "supportsGeneration")
+COUNTERS = ("downloadCount", "thumbsUpCount", "thumbsDownCount", "commentCount")
 
 
 def slim_models(items: DataFrame) -> DataFrame:
