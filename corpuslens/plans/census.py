@@ -12,7 +12,7 @@ from corpuslens.plans.links import mentioned
 from corpuslens.session import stage
 
 #: Stages that count as broken; asleep and paused ones don't.
-BROKEN = ("BUILD_ERROR", "CONFIG_ERROR", "NO_APP_FILE", "RUNTIME_ERROR")
+BROKEN = ("RUNTIME_ERROR", "BUILD_ERROR", "CONFIG_ERROR", "NO_APP_FILE")
 TEMPLATE = "describe what your server does"
 
 
@@ -95,7 +95,7 @@ def link_extract(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = papers.select(
         F.col("id").alias("arxiv_id"),
         F.concat_ws(" ", "abstract", "comments").alias("text"),
-        F.coalesce(F.try_to_timestamp(first, F.lit("EEE, d MMM yyyy HH:mm:ss z")), X.parsed_time(first)).alias("date"),
+        F.coalesce(F.try_to_timestamp(F.regexp_replace(first, "^[A-Za-z]+, *", ""), F.lit("d MMM yyyy HH:mm:ss z")), X.parsed_time(first)).alias("date"),
         F.arrays_overlap(F.split(F.coalesce("categories", F.lit("")), r"\s+"), F.array(*map(F.lit, X.ML_CATEGORIES))).alias("is_ml"),
     )
     found = mentioned(rows, "text")

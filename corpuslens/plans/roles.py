@@ -20,11 +20,14 @@ class Roles:
         return [c for c in (self.text, self.answer, self.group, *self.labels) if c]
 
 
+# The presets, and the usual names of texts and answers.
 PRESETS = {
+    "bird-critic": Roles(text="query", answer="issue_sql", group="db_id", labels=("dialect", "category")),
+    "spider": Roles(text="question", answer="query", group="db_id"),
     "generic": Roles("question"),
-    "spider": Roles(text="question", group="db_id", answer="query"),
-    "bird-critic": Roles(text="query", group="db_id", answer="issue_sql", labels=("dialect", "category")),
 }
+TEXT_CANDIDATES = ["question", "prompt", "query", "instruction", "text", "problem", "input", "issue"]
+ANSWER_CANDIDATES = ["answer", "canonical_solution", "solution", "sql", "query", "output", "issue_sql", "response", "code"]
 
 
 def resolve(columns: list[str], preset: str = "generic", **given) -> tuple[Roles, list[str]]:
@@ -41,10 +44,10 @@ def guessed(columns: list[str]) -> Roles:
     """Roles by usual names, the first candidate that is there."""
     from corpuslens.sources.records import guess_field
 
-    text = guess_field(columns, ["question", "prompt", "instruction", "query", "problem", "text", "description", "input"])
+    text = guess_field(columns, TEXT_CANDIDATES)
     if not text:
         raise ValueError("no text column found")
-    answer = guess_field(columns, ["answer", "output", "solution", "canonical_solution", "response", "completion", "query"], (text,))
+    answer = guess_field(columns, ANSWER_CANDIDATES, (text,))
     return Roles(text, answer, guess_field(columns, ["db_id", "source", "category", "subject", "group"], (text, answer or "")))
 
 
