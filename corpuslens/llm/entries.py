@@ -10,6 +10,7 @@ from corpuslens.llm.hilbert import op6_hilbert
 from corpuslens.llm.langid import op9_langid
 from corpuslens.llm.media import op1_media
 from corpuslens.llm.mixing import op2_entropy_mix
+from corpuslens.llm.oracles import ORACLES as ORACLES
 from corpuslens.llm.packing import op4_packing
 from corpuslens.llm.repetition import op5_repetition
 from corpuslens.llm.simhash import op10_simhash
@@ -27,6 +28,3 @@ QUERIES: dict[str, Callable] = {
     "op9_langid": op9_langid,
     "op10_simhash": op10_simhash,
 }
-
-#: DuckDB SQL by query; a query without one is tested against brute force.
-ORACLES: dict[str, str] = {}
