@@ -535,9 +535,9 @@ def repo_rollup(spark, sf_dir):
     return C.repo_rollup(mentions(spark, sf_dir)).drop("first_date")
 
 
-@query("SELECT c_custkey, coalesce(r.o_orderstatus, 'unresolved') AS status FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) o_orderstatus FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1) r ON c_custkey = o_custkey")
+@query("SELECT c_custkey, coalesce(r.o_orderstatus, 'unresolved') AS status FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) r ON c_custkey = o_custkey")
 def keep_last_left_join(spark, sf_dir):
-    last = keep_last(table(spark, sf_dir, "orders").where("o_custkey % 3 <> 0").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], "o_orderkey")
+    last = keep_last(table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], "o_orderkey")
     return table(spark, sf_dir, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("o_orderstatus", F.lit("unresolved")).alias("status"))
 
 
