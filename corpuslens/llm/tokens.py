@@ -25,69 +25,75 @@ PLAIN = regex.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 EDGED = regex.compile(r"\n?\S(?:.*\S)?", regex.DOTALL)
 
 
+class Ragged(Exception):
+    """White space at a word's edge: the text has to be encoded whole."""
+
+
+class Words(dict):
+    """Ids of words, found when first asked for."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > TABLE:
+            self.clear()
+        ids = self[word] = self.encoder.cut(word)
+        return ids
+
+
 class Encoder:
     """ids(text) as little-endian bytes of the given width."""
 
     def __init__(self, path: str, width: int):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.dtype = f"<u{width}"
+        self.id_bytes = [k.to_bytes(width, "little") for k in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.lower = "Lowercase" in str(self.tokenizer.normalizer)
-        self.table: dict[str, bytes] = {}
+        self.table = Words(self)
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes_of = {chr(i): level.pre_tokenize_str(chr(i))[0][0] for i in range(32, 256) if chr(i).isprintable() or i == 32}
+        self.marks = {x: self.whole(x) for x in (".", ",", "\n")}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def word(self, word: str) -> bytes:
-        """Ids of a word with its leading blank or line end."""
-        core = word.strip(" \n") if self.lower else word.removeprefix(" ")
-        tail = core[-1:] if core[-1:] in (".", ",") else ""
-        core = core[: len(core) - len(tail)]
-        if not PLAIN.fullmatch(core):
-            return self.whole(word)
+    def word(self, word: str, blank: bool) -> bytes:
+        """Ids of a word without white space around it, after a blank or not."""
+        tail = word[-1:]
+        core = word[:-1] if tail == "." or tail == "," else word
+        if core.isascii() and core.isalpha():
+            own = core.lower() if self.lower else self.bytes_of[" "] + core if blank else core
+        elif PLAIN.fullmatch(core):
+            own = "".join(map(self.bytes_of.__getitem__, core.lower() if self.lower else " " + core if blank else core))
+        else:
+            return self.whole(" " * blank + word)
+        ids = b"".join([self.id_bytes[t.id] for t in self.tokenize(own)])
+        return ids if core is word else ids + self.marks[tail]
+
+    def cut(self, word: str) -> bytes:
+        """Ids of what stood between two blanks."""
         if self.lower:
-            core = core.lower()
-        elif word[0] == " ":
-            core = " " + core
-        ids = [t.id for t in self.model.tokenize("".join(map(self.bytes_of.__getitem__, core)))]
-        if tail:
-            ids += [t.id for t in self.model.tokenize(tail)]
-        return np.array(ids, self.dtype).tobytes()
-
-    def fill(self, words: list[str]) -> bool:
-        """Adds words to the table; False if white space at a word's edge calls for the whole text."""
-        if len(self.table) > TABLE:
-            self.table.clear()
-        for w in words:
-            if w in self.table:
-                continue
-            if self.lower:
-                self.table[w] = self.word(w) if w else b""
-            elif EDGED.fullmatch(w):
-                self.table[w] = self.word(w if w[0] == "\n" else " " + w)
-            else:
-                return False
-        return True
+            return self.word(word.strip(" \n"), False) if word else b""
+        if not (word.isascii() and word.isalpha() or EDGED.fullmatch(word)):
+            raise Ragged
+        return self.marks["\n"] + self.word(word[1:], False) if word[0] == "\n" else self.word(word, True)
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
         if self.lower:
-            words, head = text.replace("\n", " ").split(" "), b""
-        else:
-            first, *words = text.replace("\n", " \n").split(" ")
-            if not words or first[:1] in ("", "\n") or not EDGED.fullmatch(first):
-                return self.whole(text)
-            head = self.word(first)
+            return b"".join(map(self.table.__getitem__, text.replace("\n", " ").split(" ")))
+        first, *words = text.replace("\n", " \n").split(" ")
+        if not words or first[:1] in ("", "\n") or not EDGED.fullmatch(first):
+            return self.whole(text)
         try:
-            return head + b"".join(map(self.table.__getitem__, words))
-        except KeyError:
-            if not self.fill(words):
-                return self.whole(text)
-            return head + b"".join(map(self.table.__getitem__, words))
+            return self.word(first, False) + b"".join(map(self.table.__getitem__, words))
+        except Ragged:
+            return self.whole(text)
 
 
 @functools.cache

@@ -46,9 +46,9 @@ class WaveletMatrix:
         for bit in range(BITS - 1, -1, -1):
             ones = (now & np.uint16(1 << bit)) != 0
             planes.append(np.packbits(ones, bitorder="little"))
-            low = now[~ones]
+            low = np.compress(~ones, now)
             zeros.append(len(low))
-            now = np.concatenate([low, now[ones]])
+            now = np.concatenate([low, np.compress(ones, now)])
         return cls(len(tokens), planes, zeros)
 
     def tokens(self) -> np.ndarray:
@@ -57,8 +57,8 @@ class WaveletMatrix:
         for level in range(BITS - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             up = np.empty_like(now)
-            up[~ones] = now[: self.zeros[level]]
-            up[ones] = now[self.zeros[level] :] | np.uint16(1 << (BITS - 1 - level))
+            up[np.flatnonzero(~ones)] = now[: self.zeros[level]]
+            up[np.flatnonzero(ones)] = now[self.zeros[level] :] | np.uint16(1 << (BITS - 1 - level))
             now = up
         return now
 
