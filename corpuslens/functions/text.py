@@ -79,13 +79,28 @@ def permuted(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (turned % m + h * (a & low) % m + b) % m
 
 
+def least_permuted(h: list[int], a: np.ndarray, b: np.ndarray, run: int = 4096) -> np.ndarray | None:
+    """The least of each permutation over hashes h, a run of them at a time; None for no hashes."""
+    out = None
+    for at in range(0, len(h), run):
+        own = permuted(np.asarray(h[at : at + run], np.uint64)[None, :], a, b).min(axis=1)
+        out = own if out is None else np.minimum(out, own)
+    return None if out is None else out.astype(np.int64)
+
+
+def coefficients(n: int = 128, seed: int = 20260824) -> tuple[np.ndarray, np.ndarray]:
+    """permutations() as two columns."""
+    a, b = (np.array(x, np.uint64)[:, None] for x in zip(*permutations(n, seed)))
+    return a, b
+
+
 def signature(shingle_set: Column, n: int = 128, seed: int = 20260824) -> Column:
     """MinHash signature of a set of strings; null for an empty set. Shingles are hashed by Spark, permuted in numpy over Arrow batches."""
-    a, b = (np.array(x, np.uint64)[:, None] for x in zip(*permutations(n, seed)))
+    a, b = coefficients(n, seed)
 
     @F.pandas_udf("array<long>")
     def least(hashes: pd.Series) -> pd.Series:
-        return hashes.map(lambda h: permuted(np.asarray(h, np.uint64)[None, :], a, b).min(axis=1).astype(np.int64) if len(h) else None)
+        return hashes.map(lambda h: least_permuted(h, a, b))
 
     return least(F.transform(shingle_set, crc))
 

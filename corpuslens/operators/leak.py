@@ -33,8 +33,8 @@ def matched(a: DataFrame, b: DataFrame, keys: list[str], witnesses: int = 5) ->
 
 
 def shared_groups(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Groups, the empty one included, that both splits have."""
-    return a.select("group_key").intersect(b.select("group_key"))
+    """Groups, the empty one included, that both splits have; none where no group is configured."""
+    return a.select("group_key").intersect(b.select("group_key")).where("group_key is not null")
 
 
 def leak_counts(a: DataFrame, b: DataFrame) -> DataFrame:
