@@ -2,11 +2,13 @@
 
 import glob
 import os
+import zlib
 from collections import Counter
 
 import duckdb
 import pytest
 
+from corpuslens.functions.text import PRIME, permutations
 from corpuslens.plans.catalogue import ORACLES, QUERIES
 
 
@@ -38,3 +40,22 @@ def test_query(spark, sf_dir, db, name):
     names = [c[0] for c in want.description]
     assert sorted(df.columns) == sorted(names)
     assert bag(df.columns, got) == bag(names, want.fetchall())
+
+
+def shingle_crcs(text):
+    w = (text or "").lower().split()
+    return {zlib.crc32(" ".join(w[i : i + 3]).encode()) for i in range(max(1, len(w) - 2))} if w else set()
+
+
+def test_shingle_hashes(spark, sf_dir, db):
+    want = [(i, min(h, default=None), max(h, default=None)) for i, t in db.execute("SELECT doc_id, text FROM documents").fetchall() for h in [shingle_crcs(t)]]
+    assert Counter(map(tuple, QUERIES["shingle_hashes"](spark, sf_dir).collect())) == Counter(want)
+
+
+def test_lsh_signature(spark, sf_dir, db):
+    """The first band of each distinct text, named by its first document."""
+    first = {}
+    for i, t in db.execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall():
+        first.setdefault(" ".join((t or "").lower().split()), i)
+    want = {(i, "-".join(str(min((a * h + b) % PRIME for h in shingle_crcs(t))) for a, b in permutations()[:4])) for t, i in first.items() if t}
+    assert {tuple(r) for r in QUERIES["lsh_signature"](spark, sf_dir).collect()} == want
