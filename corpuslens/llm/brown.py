@@ -1,17 +1,24 @@
 """Class-based bigram scoring with exchange clustering.
 
 Words are lower-cased runs outside ASCII white space, and every text ends with
-an end token. Clustering works on units: each of the most frequent words, the
-end token, and buckets of all other words by their last three bytes. Counts of
-unit bigrams over all training texts fit a matrix of fixed size; exchange moves
-units between classes while the likelihood of the class bigrams rises. So every
-word, seen or not, has a class, and
+an end token. Every word of the training texts gets a class by its own counts:
+
+1. Exchange moves units between classes while the likelihood of the class
+   bigrams rises. Units are the most frequent words, the end token, and buckets
+   of all other words by their last three bytes: a matrix of fixed size.
+2. Each frequent word that is no unit, of a bounded number, leaves its bucket
+   for the class of most gain, from its counts with its neighbours' classes.
+3. All others do so too, by the gain's first order (their counts are nothing to
+   the classes'), from counts that are aggregated by word over all texts.
+
+Transitions are then counted anew over all bigrams with the final classes. Only
+words that training never saw take their bucket's class.
 
     P(w | h) = P(class(w) | class(h)) * (c(w) + 1) / (N(class) + V(class) + 1)
 
 with transitions smoothed towards the classes' shares; one event of each class
-stands for its unseen words. Counts of all words stay distributed: a bounded
-number of the most frequent goes to the scoring tasks, the others are joined.
+stands for its unseen words. Classes and counts of all words stay distributed:
+a bounded number of the most frequent goes to the tasks, the others are joined.
 
 Null and empty texts score their end token. Rows with equal ids are scored each
 by itself. Without training texts all counts are zero. Any length is read whole.
@@ -37,6 +44,8 @@ HOT = 300_000
 #: Words that a task's table holds at most; beyond that it starts anew.
 TABLE = 500_000
 END = b"\n"
+#: Frequent words whose contexts go together in one row.
+BLOCK = 64
 
 
 def counted(train: DataFrame) -> DataFrame:
@@ -128,7 +137,7 @@ def bigrams(train: DataFrame, units: Units) -> DataFrame:
 
 
 def clustered(pairs: DataFrame, size: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each unit and the classes' transitions, from the counts of bigrams. One task does it: the matrix has a fixed size."""
+    """Class of each unit and the counts of class bigrams, from the counts of unit bigrams. One task does it: the matrix has a fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = np.zeros(size * size)
@@ -136,17 +145,28 @@ def clustered(pairs: DataFrame, size: int, classes: int) -> tuple[np.ndarray, np
             np.add.at(b, batch.column(0).to_numpy(), batch.column(1).to_numpy())
         b = b.reshape(size, size)
         of = exchange(b, classes)
-        yield pa.RecordBatch.from_pydict({"of": pa.array([of.astype("<i8").tobytes()], pa.binary()), "step": pa.array([transitions(b, of, classes).tobytes()], pa.binary())})
+        one = np.eye(classes)[of]
+        yield pa.RecordBatch.from_pydict({"of": pa.array([of.astype("<i8").tobytes()], pa.binary()), "g": pa.array([(one.T @ b @ one).tobytes()], pa.binary())})
 
     none = pairs.sparkSession.sql("SELECT 0L AS pair, 0L AS n")  # so that there is a row, and a task
-    row = pairs.unionByName(none).repartition(1).mapInArrow(run, "of binary, step binary").first()
-    return np.frombuffer(row["of"], "<i8"), np.frombuffer(row["step"]).reshape(classes, classes)
+    row = pairs.unionByName(none).repartition(1).mapInArrow(run, "of binary, g binary").first()
+    return np.frombuffer(row["of"], "<i8"), np.frombuffer(row["g"]).reshape(classes, classes)
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def gains(g: np.ndarray, mass: np.ndarray, nxt: np.ndarray, prv: np.ndarray, own: float, weight: float) -> np.ndarray:
+    """What the likelihood gains when a unit that g and mass don't hold joins each class; nxt and prv count its neighbours' classes, own its pairs with itself."""
+    i, j, d = np.flatnonzero(prv), np.flatnonzero(nxt), g.diagonal()
+    rows, cols = g[:, j], g[i]
+    gain = (xlogx(rows + nxt[j]) - xlogx(rows)).sum(axis=1) + (xlogx(cols + prv[i, None]) - xlogx(cols)).sum(axis=0)
+    gain += xlogx(d) - xlogx(d + nxt) - xlogx(d + prv) + xlogx(d + nxt + prv + own) - 2 * (xlogx(mass + weight) - xlogx(mass))
+    gain[0] = -np.inf
+    return gain
+
+
 def exchange(b: np.ndarray, classes: int = CLASSES, sweeps: int = 12) -> np.ndarray:
     """Class of each unit; unit 0 keeps class 0 to itself. Stops when a sweep moves nothing."""
     size = len(b)
@@ -159,7 +179,6 @@ def exchange(b: np.ndarray, classes: int = CLASSES, sweeps: int = 12) -> np.ndar
     after, before = b @ one, b.T @ one  # by unit: counts of the next and the previous class
     g = one.T @ after
     mass = one.T @ weight
-    diag = np.arange(classes)
     for _ in range(sweeps):
         moved = 0
         for u in order:
@@ -173,11 +192,7 @@ def exchange(b: np.ndarray, classes: int = CLASSES, sweeps: int = 12) -> np.ndar
             g[:, a] -= prv
             g[a, a] -= own
             mass[a] -= weight[u]
-            rows, cols = xlogx(g + nxt) - xlogx(g), xlogx(g + prv[:, None]) - xlogx(g)
-            gain = rows.sum(axis=1) - rows[diag, diag] + cols.sum(axis=0) - cols[diag, diag]
-            d = g[diag, diag]
-            gain += xlogx(d + nxt + prv + own) - xlogx(d) - 2 * (xlogx(mass + weight[u]) - xlogx(mass))
-            gain[0] = -np.inf
+            gain = gains(g, mass, nxt, prv, own, weight[u])
             to = int(np.argmax(gain))
             if gain[to] <= gain[a] + 1e-9 * abs(gain[a]):
                 to = a
@@ -197,20 +212,204 @@ def exchange(b: np.ndarray, classes: int = CLASSES, sweeps: int = 12) -> np.ndar
     return of
 
 
-def class_sizes(vocab: DataFrame, units: Units, of: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and distinct words of each class."""
+class Hot:
+    """The words that tasks hold, most frequent first, with counts and classes; other words are numbered behind them by their bucket's class."""
+
+    def __init__(self, known: list[tuple[bytes, int]], units: Units, of: np.ndarray):
+        self.words, self.units, self.of = [w for w, _ in known], units, of
+        self.counts = np.array([c for _, c in known], np.int64)
+        unit = np.array([units.unit(w) for w in self.words], np.int64)
+        self.cls, self.placed = of[unit].astype(np.int64), unit < units.first
+
+    def bucket(self, word: bytes) -> int:
+        return int(self.of[self.units.unit(word)])
+
+    def table(self) -> Table:
+        code, many = {w: k for k, w in enumerate(self.words)}, len(self.words)
+        return Table(lambda w: code[w] if w in code else many + self.bucket(w))
+
+
+def numbered(batch: pa.RecordBatch, table: dict) -> np.ndarray:
+    """Numbers of the tokens of all texts, between end tokens."""
+    tokens: list[bytes] = [END]
+    for text in utf8(batch):
+        tokens += text.lower().split()
+        tokens.append(END)
+    return np.fromiter(map(table.__getitem__, tokens), np.int64, len(tokens))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cls = of[np.fromiter(map(units.unit, utf8(batch, "word")), np.int64, batch.num_rows)]
-            n = np.bincount(cls, weights=batch.column("c").to_numpy(), minlength=classes)
-            yield pa.RecordBatch.from_pydict({"cls": pa.array(range(classes), pa.int32()), "n": pa.array(n.astype(np.int64)), "v": pa.array(np.bincount(cls, minlength=classes), pa.int64())})
 
-    rows = vocab.select("word", "c").mapInArrow(run, "cls int, n long, v long").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    n, v = np.zeros(classes), np.zeros(classes)
-    for r in rows:
-        n[r["cls"]], v[r["cls"]] = r["n"], r["v"]
-    return n, v
+def hot_classes(train: DataFrame, hot: Hot, g: np.ndarray, classes: int) -> np.ndarray:
+    """Classes of hot's words: the units keep theirs, each other word takes the class of most gain."""
+    shared, codes = train.sparkSession.sparkContext.broadcast(hot), 2 * classes + 1
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
+        table, many = hot.table(), len(hot.words)
+        cls = np.concatenate([hot.cls, np.arange(classes)])
+        free = np.concatenate([~hot.placed, np.zeros(classes, bool)])
+        found, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(found), return_counts=True)
+            block = key // (BLOCK * codes)
+            edge = np.flatnonzero(np.diff(block, prepend=-1))
+            ends = [*edge[1:].tolist(), len(key)]
+            k, n = (key - block * (BLOCK * codes)).astype("<u2"), n.astype("<u4")
+            parts = list(zip(edge.tolist(), ends))
+            return pa.RecordBatch.from_pydict({"block": pa.array(block[edge], pa.int64()), "k": pa.array([k[i:j].tobytes() for i, j in parts], pa.binary()), "n": pa.array([n[i:j].tobytes() for i, j in parts], pa.binary())})
+
+        for batch in sliced(batches):
+            ids = numbered(batch, table)
+            c, at = cls[ids], np.flatnonzero(free[ids])
+            word = ids[at] * codes
+            found += [word + c[at + 1], word + classes + c[at - 1], word[ids[at] == ids[at + 1]] + 2 * classes]
+            held += 2 * len(at)
+            if held > 1 << 22:
+                yield flush()
+                found, held = [], 0
+        if held:
+            yield flush()
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, k, n in zip(*(x.to_pylist() for x in batch.columns)):
+                own = blocks.setdefault(block, np.zeros(BLOCK * codes, np.int64))
+                own[np.frombuffer(k, "<u2")] += np.frombuffer(n, "<u4")
+        hot, mass = shared.value, g.sum(axis=0)
+        for block, counts in blocks.items():
+            out = {"code": [], "cls": []}
+            for k, row in enumerate(counts.reshape(BLOCK, codes).astype(float)):
+                if weight := row[:classes].sum():
+                    a, own = int(hot.cls[block * BLOCK + k]), row[-1]
+                    nxt, prv = row[:classes].copy(), row[classes:-1].copy()
+                    nxt[a] -= own
+                    prv[a] -= own
+                    rest, left = g.copy(), mass.copy()
+                    rest[a] -= nxt
+                    rest[:, a] -= prv
+                    rest[a, a] -= own
+                    left[a] -= weight
+                    out["code"].append(block * BLOCK + k)
+                    out["cls"].append(int(np.argmax(gains(rest, left, nxt, prv, own, weight))))
+            yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in out.items()})
+
+    got = train.select("text").mapInArrow(contexts, "block long, k binary, n binary").repartition("block").mapInArrow(best, "code long, cls long").toArrow()  # a row for each hot word at most
+    cls = hot.cls.copy()
+    cls[got.column("code").to_numpy()] = got.column("cls").to_numpy()
+    return cls
+
+
+def rare_classes(train: DataFrame, hot: Hot, g: np.ndarray, classes: int) -> tuple[DataFrame, np.ndarray]:
+    """(word, c, cls) of all training words that hot lacks, and the counts of class bigrams with the final classes of all words.
+
+    A context's code is the neighbour's class, next or previous, hot or not.
+    Bigrams of two hot words are counted where they are read, those of a hot
+    and another word from the other's contexts, the rest by joining both.
+    """
+    shared = train.sparkSession.sparkContext.broadcast(hot)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
+        many, code = len(hot.words), {w: k for k, w in enumerate(hot.words)}
+        names: list[bytes] = []
+        cls = np.concatenate([hot.cls, np.zeros(2 * TABLE, np.int64)])
+        total = np.zeros(classes * classes, np.int64)
+        found: list[np.ndarray] = []
+
+        def number(word: bytes) -> int:
+            if (k := code.get(word)) is None:
+                k = many + len(names)
+                if k >= len(cls):
+                    cls.resize(2 * len(cls), refcheck=False)
+                cls[k] = hot.bucket(word)
+                names.append(word)
+            return k
+
+        class Numbers(dict):
+            def __missing__(self, word: bytes) -> int:
+                k = self[word] = number(word)
+                return k
+
+        def rows(kind: int, size: int, **own) -> pa.RecordBatch:
+            kinds = {"word": pa.string(), "other": pa.string(), "pair": pa.int64(), "n": pa.int64(), "codes": pa.binary()}
+            return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(size, kind), pa.int32())} | {k: own.get(k, pa.nulls(size, t)) for k, t in kinds.items()})
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            key = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            if len(key):
+                word = key >> 8
+                edge = np.flatnonzero(np.diff(word, prepend=-1))
+                data = (key & 255).astype(np.uint8)
+                offsets = np.append(edge, len(key)).astype(np.int32)
+                codes = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+                yield rows(0, len(edge), word=pa.array(names, pa.binary()).take(pa.array(word[edge])).cast(pa.string()), codes=codes)
+
+        numbers, held = Numbers(), 0
+        for batch in sliced(batches):
+            ids = numbered(batch, numbers)
+            c, rare = cls[ids], ids >= many
+            at = np.flatnonzero(rare)  # the end token is never rare
+            word = (ids[at] - many) << 8
+            found += [word + c[at + 1] + classes * rare[at + 1], word + 2 * classes + c[at - 1] + classes * rare[at - 1]]
+            both = ~(rare[1:] | rare[:-1])
+            total += np.bincount((c[:-1] * classes + c[1:])[both], minlength=classes * classes)
+            two = np.flatnonzero(rare[1:] & rare[:-1])
+            if len(two):
+                known = pa.array([names[k] for k in (ids[two] - many).tolist()], pa.binary()).cast(pa.string())
+                after = pa.array([names[k] for k in (ids[two + 1] - many).tolist()], pa.binary()).cast(pa.string())
+                yield rows(1, len(two), word=known, other=after, n=pa.array(np.ones(len(two), np.int64)))
+            held += 2 * len(at)
+            if len(names) > TABLE or held > 1 << 23:
+                yield from flush()
+                found.clear()
+                names.clear()
+                numbers.clear()
+                held = 0
+        yield from flush()
+        at = np.flatnonzero(total)
+        yield rows(2, len(at), pair=pa.array(at, pa.int64()), n=pa.array(total[at], pa.int64()))
+
+    parts = stage(train.select("text").mapInArrow(read, "kind int, word string, other string, pair long, n long, codes binary"), "brown-contexts")
+    log, mass = np.log(np.maximum(g, 1)), np.log(np.maximum(g.sum(axis=0), 1))
+    # first order of the gain by context code; the end token's class is its own
+    worth = np.concatenate([log.T, log.T, log, log]) - np.tile(mass, (4 * classes, 1))
+    worth[:, 0] = -1e9
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 2048):
+            codes = [b"".join(x) for x in batch.column(1).to_pylist()]
+            size = np.array([len(x) for x in codes], np.int64)
+            row = np.repeat(np.arange(len(codes)), size)
+            counts = np.bincount(row * (4 * classes) + np.frombuffer(b"".join(codes), np.uint8), minlength=len(codes) * 4 * classes).reshape(-1, 4 * classes)
+            yield pa.RecordBatch.from_pydict({"word": batch.column(0), "c": pa.array(size // 2), "cls": pa.array((counts @ worth).argmax(axis=1), pa.int32()), "codes": pa.array(codes, pa.binary())})
+
+    placed = stage(parts.where("kind = 0").groupBy("word").agg(F.collect_list("codes").alias("codes")).mapInArrow(best, "word string, c long, cls int, codes binary"), "brown-classes")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, np.int64)
+        for batch in sliced(batches, 8192):
+            codes = batch.column(1).to_pylist()
+            own = np.repeat(batch.column(0).to_numpy().astype(np.int64), [len(x) for x in codes])
+            k = np.frombuffer(b"".join(codes), np.uint8).astype(np.int64)
+            after, before = k < classes, (k >= 2 * classes) & (k < 3 * classes)
+            total += np.bincount(own[after] * classes + k[after], minlength=len(total)) + np.bincount((k[before] - 2 * classes) * classes + own[before], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
+
+    a, b = placed.select("word", F.col("cls").alias("a")), placed.select(F.col("word").alias("other"), F.col("cls").alias("b"))
+    two = parts.where("kind = 1").select("word", "other", "n").join(a, "word").join(b, "other").select((F.col("a") * classes + F.col("b")).cast("long").alias("pair"), "n")
+    pairs = parts.where("kind = 2").select("pair", "n").unionByName(placed.select("cls", "codes").mapInArrow(sums, "pair long, n long")).unionByName(two)
+    final = np.zeros(classes * classes)
+    for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect():  # classes * classes rows at most
+        final[r["pair"]] = r["n"]
+    return placed.select("word", "c", "cls"), final.reshape(classes, classes)
+
+
+#: Columns of scoring: a rare word between two classes (kind 0, -1 where a rare word or nothing stands), two rare words (1), a text without those (2).
+ROWS = {"kind": pa.int32(), "rid": pa.int64(), "word": pa.string(), "other": pa.string(), "own": pa.int32(), "left": pa.int32(), "right": pa.int32(), "n": pa.int64()}
+ROWS |= {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "moves": pa.float64(), "logs": pa.float64()}
+NONE = (None,) * 6
 
 
 def transitions(b: np.ndarray, of: np.ndarray, classes: int, strength: float = 1.0) -> np.ndarray:
@@ -225,55 +424,66 @@ def scored(docs: DataFrame, vocab: DataFrame, held_out=None, top: int = TOP, suf
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs (doc_id, held_out, text); vocab counts train's tokens."""
     n_all, v_all = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     known = frequent(vocab, hot)
+    if END not in dict(known):
+        known += [(END, r["c"]) for r in vocab.where(F.col("word") == END.decode()).collect()]
     units = Units([w for w, _ in known[:top]], suffixes)
-    of, step = clustered(bigrams(train, units), units.size, classes)
-    n_class, v_class = class_sizes(vocab, units, of, classes)
+    of, g = clustered(bigrams(train, units), units.size, classes)
+    model = Hot(known, units, of)
+    model.cls = hot_classes(train, model, g, classes)
+    rare, g = rare_classes(train, model, g, classes)
+    step = transitions(g, np.arange(classes), classes)
+    n_class, v_class = np.bincount(model.cls, model.counts, classes), np.bincount(model.cls, minlength=classes).astype(float)
+    for r in rare.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+        n_class[r["cls"]] += r["n"]
+        v_class[r["cls"]] += r["v"]
     room = np.log10(n_class + v_class + 1)
-    shared = docs.sparkSession.sparkContext.broadcast(([w for w, _ in known], np.log10(np.array([c for _, c in known], float) + 1)))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, logs = shared.value
-        many = len(words)
-        code = {w: k for k, w in enumerate(words)}
-        cls = np.concatenate([of[[units.unit(w) for w in words]].astype(np.int64) if many else np.zeros(0, np.int64), np.arange(classes)])
-        log = np.concatenate([logs, np.zeros(classes)])
-        table = Table(lambda w: code[w] if w in code else many + int(of[units.unit(w)]))
+        model = shared.value
+        many, table = len(model.words), model.table()
+        cls = np.concatenate([model.cls, np.arange(classes)])
+        log = np.concatenate([np.log10(model.counts + 1.0) - room[model.cls], np.zeros(classes)])
+        base = np.concatenate([np.log10(model.counts + 1.0), np.zeros(classes)])
         row = TaskContext.get().partitionId() << 33
         for batch in sliced(batches):
-            keys, texts = {"rid": [], "word": [], "n": []}, []
-            part = {"doc_id": [], "held_out": [], "n_tokens": [], "n_known": [], "moves": [], "logs": []}
+            part = {k: [] for k in ROWS}
+            words: list[tuple] = []
             for doc, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch)):
                 tokens = text.lower().split()
                 tokens.append(END)
                 ids = np.fromiter(map(table.__getitem__, tokens), np.int64, len(tokens))
-                c = cls[ids]
-                rare = np.flatnonzero(ids >= many)
-                found = Counter(map(tokens.__getitem__, rare.tolist()))
-                moves = float(step[np.concatenate([[0], c[:-1]]), c].sum() - room[c].sum())
-                for k, x in zip(part, (doc, held, len(tokens), len(tokens) - len(rare), moves, float(log[ids].sum()))):
-                    part[k] += [x] + [None] * len(found)
-                keys["rid"] += [row] * (1 + len(found))
-                keys["word"] += [b"\t%d" % row, *found]  # no word holds a tab: this row meets none
-                keys["n"] += [0, *found.values()]
+                c, r = cls[ids], ids >= many
+                before, met = np.concatenate([[0], c[:-1]]), np.concatenate([[False], r[:-1]])
+                moves = float(step[before, c][~(r | met)].sum() + log[ids].sum())
+                at = np.flatnonzero(r)
+                words.append((2, row, None, None, 0, -1, -1, 0, doc, held, len(tokens), len(tokens) - len(at), moves, float(base[ids].sum())))
+                if len(at):
+                    left = np.where(met[at], -1, before[at]).tolist()
+                    right = np.where(np.append(r, True)[at + 1], -1, np.append(c, 0)[at + 1]).tolist()
+                    own = [tokens[i] for i in at.tolist()]
+                    words += [(0, row, w, None, k, i, j, n, *NONE) for (w, k, i, j), n in Counter(zip(own, c[at].tolist(), left, right)).items()]
+                    two = np.flatnonzero(r & met).tolist()
+                    words += [(1, row, tokens[i - 1], tokens[i], int(c[i]), int(c[i - 1]), -1, 1, *NONE) for i in two]
                 row += 1
-            yield pa.RecordBatch.from_pydict(
-                {"rid": pa.array(keys["rid"], pa.int64()), "word": pa.array(keys["word"], pa.binary()).cast(pa.string()), "n": pa.array(keys["n"], pa.int64())}
-                | {k: pa.array(v, t) for (k, v), t in zip(part.items(), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))}
-            )
-
-    rows = docs.select("doc_id", "held_out", "text").mapInArrow(run, "rid long, word string, n long, doc_id long, held_out boolean, n_tokens long, n_known long, moves double, logs double")
-    met = rows.join(vocab, "word", "left")
-    sums = met.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0))).alias("n_known"),
-        F.sum("moves").alias("moves"),
-        (F.sum("logs") + F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1))).alias("logs"),
-    )
-    score = F.col("moves") + F.col("logs")
+            for k, x in zip(part, zip(*words)):
+                part[k] = x
+            yield pa.RecordBatch.from_pydict({k: pa.array(part[k], pa.binary()).cast(pa.string()) if t == pa.string() else pa.array(part[k], t) for k, t in ROWS.items()})
+
+    rows = stage(docs.select("doc_id", "held_out", "text").mapInArrow(run, "kind int, rid long, word string, other string, own int, left int, right int, n long, doc_id long, held_out boolean, n_tokens long, n_known long, moves double, logs double"), "brown-rows")
+    move = lambda a, b: F.lit(step.ravel())[a * classes + b]
+    two = rows.where("kind = 1").join(rare.select("word", "cls"), "word", "left")
+    two = two.select("rid", F.col("other").alias("word"), "own", F.coalesce("cls", "left").alias("left"), "right", "n", F.lit(0).alias("first"))
+    each = rows.where("kind = 0").select("rid", "word", "own", "left", "right", "n", F.lit(1).alias("first")).unionByName(two).join(rare, "word", "left")
+    own, first, n = F.coalesce("cls", "own"), F.col("first"), F.col("n")
+    logs = first * n * F.log10(F.coalesce("c", F.lit(0)) + 1)
+    moved = F.when(F.col("left") >= 0, move(F.col("left"), own)).otherwise(0.0) + F.when(F.col("right") >= 0, move(own, F.col("right"))).otherwise(0.0) - first * F.lit(room)[own]
+    none = {"doc_id": "long", "held_out": "boolean", "n_tokens": "long"}
+    met = each.select("rid", *(F.lit(None).cast(t).alias(k) for k, t in none.items()), F.when(F.col("c").isNotNull(), first * n).otherwise(0).alias("n_known"), (n * moved + logs).alias("moves"), logs.alias("logs"))
+    sums = rows.where("kind = 2").select(met.columns).unionByName(met).groupBy("rid").agg(*(F.max(k).alias(k) for k in none), *(F.sum(k).alias(k) for k in ("n_known", "moves", "logs")))
+    score = F.col("moves")
     return sums.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * float(np.log10(n_all + v_all + 1))).alias("base_score"),

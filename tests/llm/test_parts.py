@@ -187,3 +187,52 @@ def test_links_lose_nothing(spark):
                 old, new = max(want[a], want[b]), min(want[a], want[b])
                 want = {k: new if v == old else v for k, v in want.items()}
     assert {p: label.get(p, p) for p in signed} == want
+
+
+def test_all_training_words_get_classes_by_their_counts(spark):
+    """Rare words of two kinds, whose endings say nothing, between words of two kinds; all figures against plain counts."""
+    rng = random.Random(4)
+    kinds = [[f"{x}{k}zzz" for k in range(150)] for x in "pq"]
+    near = [["la", "lo"], ["mi", "mu"]]
+    texts = []
+    for _ in range(1500):
+        k = rng.randrange(2)
+        texts.append(" ".join(w for _ in range(4) for w in (rng.choice(near[k]), "pq"[k] + "core" if rng.random() < 0.4 else rng.choice(kinds[k]))))
+    texts += ["p1zzz p2zzz q3zzz", "la unseenzzz otherzzz p1zzz", None]
+    df = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string")
+    train, classes = df.where("doc_id <> 1501"), 6
+    vocab = brown.counted(train)
+    known = brown.frequent(vocab, 40)
+    assert len(known) < 60
+    units = brown.Units([w for w, _ in known[:7]], 4)
+    of, g = brown.clustered(brown.bigrams(train, units), units.size, classes)
+    hot = brown.Hot(known, units, of)
+    hot.cls = brown.hot_classes(train, hot, g, classes)
+    rare, final = brown.rare_classes(train, hot, g, classes)
+    rows = rare.collect()
+    words = [((t or "").encode().split() + [brown.END]) for i, t in enumerate(texts) if i != 1501]
+    counts = {}
+    for w in (x for ws in words for x in ws):
+        counts[w] = counts.get(w, 0) + 1
+    assert {r["word"].encode(): r["c"] for r in rows} | dict(known) == counts and len(rows) + len(known) == len(counts)
+    cls = {r["word"].encode(): r["cls"] for r in rows} | dict(zip(hot.words, hot.cls.tolist()))
+    of_kind = [[cls[w.encode()] for w in k] for k in kinds]
+    top = [max(set(x), key=x.count) for x in of_kind]
+    assert top[0] != top[1] and all(x.count(t) > 0.9 * len(x) for x, t in zip(of_kind, top))
+    want = np.zeros((classes, classes))
+    for ws in words:
+        for a, b in zip([brown.END, *ws], ws):
+            want[cls[a], cls[b]] += 1
+    assert (final == want).all()
+
+    step = brown.transitions(want, np.arange(classes), classes)
+    n, v = np.zeros(classes), np.zeros(classes)
+    for w, c in counts.items():
+        n[cls[w]] += c
+        v[cls[w]] += 1
+    got = {r["doc_id"]: r["score"] for r in brown.scored(df, vocab, top=7, suffixes=4, classes=classes, hot=40, train=train).collect()}
+    for i in (0, 7, 1500, 1501, 1502):
+        ws = [brown.END, *(texts[i] or "").encode().split(), brown.END]
+        k = [cls[w] if w in cls else int(of[units.unit(w)]) for w in ws]
+        score = sum(step[a, b] + np.log10((counts.get(w, 0) + 1) / (n[b] + v[b] + 1)) for a, b, w in zip(k, k[1:], ws[1:]))
+        assert got[i] == pytest.approx(score, rel=1e-9)
