@@ -1,5 +1,6 @@
 """The pipeline over odd documents, stage by stage, against plain Python."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -66,3 +67,23 @@ def test_stages(spark, odd_dir):
 
 def test_empty(spark, empty_dir):
     assert corpus_pipeline.run(spark, empty_dir).collect() == []
+
+
+def test_near_copies_go_and_clean_documents_stay(spark):
+    """Planted copies at a similarity of 0.8 to 0.95 on five words, others just below, and a passage that all share."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    passage, texts, want, similar = [word() for _ in range(40)], [], set(), []
+    sets = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    for k in range(60):
+        base = [word() for _ in range(200)] + passage
+        copy = list(base)
+        for at in rng.sample(range(2, 195, 6), 1 + k % 8):
+            copy[at] = word()
+        a, b = sets(base), sets(copy)
+        similar.append(len(a & b) / len(a | b))
+        want |= {2 * k} | ({2 * k + 1} if similar[-1] < 0.8 else set())
+        texts += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    assert min(similar) < 0.8 and sum(0.8 <= x <= 0.95 for x in similar) > 20
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(texts, "doc_id long, text string"), "")
+    assert {r["doc_id"] for r in got.collect()} == want
