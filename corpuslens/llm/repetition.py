@@ -14,6 +14,8 @@ of any length are read whole. Repeated rows get the same values.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +26,9 @@ from corpuslens.llm.common import arrow_filter, arrow_map, utf8
 LIMITS = {5: 0.50, 10: 0.40}
 #: Share of characters that lines equal to an earlier line may hold.
 LINE_LIMIT = 0.40
+#: Limits of the pipeline's stage, which are stricter than the base rule: shares of characters in repeated windows, and in lines found twice or more, first copies included.
+STAGE_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+STAGE_LINE_LIMIT = 0.30
 MIN_WORDS = 50
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -118,9 +123,27 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return arrow_map(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), schema, run)
 
 
+def within(text: bytes) -> bool:
+    """Whether a text stays within the stage's limits."""
+    words = text.split()
+    known: dict[bytes, int] = {}
+    ids = np.array([known.setdefault(w, len(known)) for w in words], np.uint64)
+    size = np.array([len(w.decode("utf-8", "replace")) for w in words], np.int64)
+    if any(size[repeated(rolled(ids, k), k, len(words))].sum() > limit * size.sum() for k, limit in STAGE_LIMITS.items()):
+        return False
+    lines = Counter(text.split(b"\n"))
+    twice = sum(n * len(b"".join(line.split()).decode("utf-8", "replace")) for line, n in lines.items() if n > 1)
+    return bool(twice <= STAGE_LINE_LIMIT * size.sum())
+
+
 def passing(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows of docs that the rules keep."""
-    return arrow_filter(docs, [text_col], lambda batch: judged(utf8(batch, text_col))["kept"])
+    """Rows of docs that the rules and the stage's limits keep."""
+
+    def keep(batch: pa.RecordBatch) -> list[bool]:
+        texts = utf8(batch, text_col)
+        return [bool(k) and within(t) for t, k in zip(texts, judged(texts)["kept"])]
+
+    return arrow_filter(docs, [text_col], keep)
 
 
 def op5_repetition(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpuslens.llm import brown, chat, hilbert, langid, media, packing, simhash, wavelet
+from corpuslens.llm import brown, chat, hilbert, langid, media, packing, repetition, simhash, wavelet
 from corpuslens.llm.tokens import encoder
 
 from .test_queries import best_fit
@@ -236,3 +236,14 @@ def test_all_training_words_get_classes_by_their_counts(spark):
         k = [cls[w] if w in cls else int(of[units.unit(w)]) for w in ws]
         score = sum(step[a, b] + np.log10((counts.get(w, 0) + 1) / (n[b] + v[b] + 1)) for a, b, w in zip(k, k[1:], ws[1:]))
         assert got[i] == pytest.approx(score, rel=1e-9)
+
+
+def test_stage_limits_reject_what_the_base_rule_passes():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    clean, part = [word() for _ in range(200)], [word() for _ in range(30)]
+    lines = "\n".join(" ".join(word() for _ in range(4)) for _ in range(40))
+    twice = "\n".join(f"{x} {y}" for x in [word() for _ in range(12)] for y in [word()])
+    texts = [" ".join(x).encode() for x in (clean, clean[:100] + part + clean[100:] + part)] + [lines.encode(), f"{lines}\n{twice}\n{twice}\n{twice}".encode()]
+    assert not repetition.judged(texts)["base_failed"].any() and repetition.judged(texts)["kept"].all()
+    assert [repetition.within(x) for x in texts] == [True, False, True, False]
