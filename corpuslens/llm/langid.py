@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.llm.common import arrow_filter, arrow_map, id_bucket, sliced, utf8
@@ -89,13 +89,14 @@ class Model:
 
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learns from at most `sample` of train's rows with text and language, the same number of each language where there are enough."""
+    """Learns from at most `sample` of train's rows with text and language, the same number of each language where there are enough, but one of each language at least."""
     rows = train.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    counts = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(sample // 2).collect())
+    counts = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())  # a row for each language
     if not counts:
         return Model([], np.zeros((0, BUCKETS)), np.zeros(0, int))
-    each = sample // len(counts)
-    share = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(min(1.0, 1.3 * each / n))) for k, n in counts))
+    each = max(1, sample // len(counts))
+    many = each + 6 * each**0.5 + 20  # so that no language is drawn short
+    share = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(min(1.0, many / n))) for k, n in counts))
     drawn = rows.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +109,8 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     # learned in one task, of which Spark bounds the threads: the driver's own linear algebra may not survive the JVM's fork
-    top = drawn.orderBy("h", "id").limit(sample).select("text", "lang").coalesce(1)
+    own = drawn.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("at") <= each)
+    top = own.repartition(1).sortWithinPartitions("h", "id").select("text", "lang")
     learned = top.mapInArrow(run, "model binary").collect()
     return pickle.loads(learned[0]["model"]) if learned else Model([], np.zeros((0, BUCKETS)), np.zeros(0, int))
 

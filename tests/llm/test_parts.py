@@ -247,3 +247,9 @@ def test_stage_limits_reject_what_the_base_rule_passes():
     texts = [" ".join(x).encode() for x in (clean, clean[:100] + part + clean[100:] + part)] + [lines.encode(), f"{lines}\n{twice}\n{twice}\n{twice}".encode()]
     assert not repetition.judged(texts)["base_failed"].any() and repetition.judged(texts)["kept"].all()
     assert [repetition.within(x) for x in texts] == [True, False, True, False]
+
+
+def test_langid_keeps_rare_languages(spark):
+    rows = [(k, f"text number {k}", "big") for k in range(400)] + [(1000 + k, f"wort {k}", f"l{k:02d}") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(df, sample=40).langs == sorted({x for _, _, x in rows})
