@@ -14,7 +14,7 @@ Reading joins the lists with the store, puts the chunks in order, checks every
 digest and the payload's, and computes features from what it has read.
 
 The stored form of a payload is its container: magic, lengths, chunk list and
-samples. Null and empty texts are 64 zero bytes. Rows with equal ids are stored
+the frames that were read back. Null and empty texts are 64 zero bytes. Rows with equal ids are stored
 each by itself, equal texts with equal values. An empty table gives no rows.
 """
 
@@ -82,10 +82,10 @@ def key(digest: bytes) -> int:
     return int.from_bytes(digest[:7], "little")
 
 
-def container(list_of: list[tuple[bytes, bytes]]) -> bytes:
-    """The stored form: magic, lengths, the chunk list and the samples."""
-    head = struct.pack("<4sQI", b"CDC1", sum(len(c) for _, c in list_of), len(list_of))
-    return head + b"".join(struct.pack("<I", len(c)) + d for d, c in list_of) + b"".join(c for _, c in list_of)
+def container(size: int, rows: list[dict]) -> bytes:
+    """The stored form of a payload of size bytes: magic, lengths, the chunk list and the frames as they were stored, in order."""
+    head = struct.pack("<4sQI", b"CDC2", size, len(rows))
+    return head + b"".join(struct.pack("<I", len(r["frame"])) + r["digest"] for r in rows) + b"".join(r["frame"] for r in rows)
 
 
 def shared_filter(texts: DataFrame) -> np.ndarray:
@@ -158,7 +158,8 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for d, c in parts:
                 if hashlib.blake2b(c, digest_size=16).digest() != d:
                     raise ValueError(f"chunk {d.hex()} of document {doc} is damaged")
-            data, media = b"".join(c for _, c in parts), container(parts)
+            data = b"".join(c for _, c in parts)
+            media = container(len(data), rows)
             digest = hashlib.sha256(data)
             if digest.digest() != sha:
                 raise ValueError(f"payload of document {doc} is damaged")

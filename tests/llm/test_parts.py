@@ -253,3 +253,20 @@ def test_langid_keeps_rare_languages(spark):
     rows = [(k, f"text number {k}", "big") for k in range(400)] + [(1000 + k, f"wort {k}", f"l{k:02d}") for k in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert langid.fit(df, sample=40).langs == sorted({x for _, _, x in rows})
+
+
+def test_media_digest_is_of_stored_frames(spark):
+    import hashlib
+
+    import pyarrow as pa
+    import zstandard
+
+    data = bytes(range(64)) * 2
+    seen = []
+    for level in (1, 19):
+        rows = [{"digest": hashlib.blake2b(data, digest_size=16).digest(), "frame": zstandard.ZstdCompressor(level=level, write_checksum=level > 1).compress(data)}]
+        batch = pa.RecordBatch.from_pylist([{"doc_id": 1, "n_bytes": 128, "sha": hashlib.sha256(data).digest(), "chunks": rows}])
+        got = next(media.measured(iter([batch]))).to_pylist()[0]
+        assert got["media_bytes"] == 16 + 20 + len(rows[0]["frame"])
+        seen.append(got["media_sha256"])
+    assert seen[0] != seen[1]
