@@ -5,7 +5,8 @@ the ids of its blank- or line-separated words, one after the other. A word's ids
 are kept in a table of bounded size; only words that it lacks are merged.
 Single line ends and blanks between visible characters are all that is cut
 here; texts with anything else around them (runs of blanks, blank edges) are
-encoded whole.
+encoded whole. So are texts that hold the string of an added token: as in the
+library's plain call, it then becomes that token's id.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ class Encoder:
 
     def __init__(self, path: str, width: int):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenize = self.tokenizer.model.tokenize
         self.dtype = f"<u{width}"
         self.id_bytes = [k.to_bytes(width, "little") for k in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
@@ -85,6 +86,8 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(x in text for x in self.added):
+            return self.whole(text)
         if self.lower:
             return b"".join(map(self.table.__getitem__, text.replace("\n", " ").split(" ")))
         first, *words = text.replace("\n", " \n").split(" ")

@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from corpuslens.llm import brown, chat, hilbert, langid, media, packing, repetition, simhash, wavelet
 from corpuslens.llm.tokens import encoder
@@ -107,9 +109,11 @@ def test_wavelet_matrix(n):
 
 @pytest.mark.parametrize("name, width", [("byte_bpe_50k.json", 4), ("word_bpe_49k.json", 2)])
 def test_tokens_equal_the_tokenizer(name, width):
-    e = encoder(name, width)
+    e, plain = encoder(name, width), Tokenizer.from_file(public_tokenizers.path(name))
+    ids = lambda text: np.array(plain.encode(text, add_special_tokens=False).ids, e.dtype).tobytes()
     odd = ["", " a", "a ", "a  b", "a\n\nb", "don't we'll O'Neil's", "x\ty z", "<|endoftext|> hi", "naïve ÿ Σίσυφος ΟΔΟΣ 123 4a5 foo.", "a.\nB,\nc", "\n", "é x", "a b", "word., x.. '.' .", "中文 test。", "İ", "a \n b", "\x1c a"]
-    assert [e.ids(t) for t in odd] == [e.whole(t) for t in odd]
+    odd += ["x <|endoftext|> y", "a<|endoftext|><|endoftext|>b", "<|startoftext|>", "in<|startoftext|>side the <|endoftext|", "<|ENDOFTEXT|>"]
+    assert [e.ids(t) for t in odd] == [ids(t) for t in odd]
 
 
 @given(st.text(alphabet=list("aéßΣ'. \n\t1,ś "), max_size=40))
