@@ -45,7 +45,11 @@ def fingerprint(text: bytes, n: int = 4, seed: int = 42) -> int:
         start = (end - size)[: len(words) - n + 1].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[i:j], seed) for i, j in zip(start, end[n - 1 :].tolist())]
-    h = np.array(hashes, dtype="<u8")
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed integer; zero for none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 15):
         ones += np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
@@ -142,27 +146,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fp, component_id) of every row of docs."""
     prints = stage(fingerprints(docs, id_col, text_col, n, seed), "simhash")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    return labelled(prints, distinct, links(distinct, radius))
-
-
-def labelled(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """prints (doc_id, fp) with the least id of the component that edges (src, dst) put fp in."""
-    joined = connected_components(edges).select(F.col("node").alias("fp"), "component")
+    joined = connected_components(links(distinct, radius)).select(F.col("node").alias("fp"), "component")
     found = distinct.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = found.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return prints.join(found.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, found: DataFrame | None = None, **how) -> DataFrame:
-    """Rows of docs, one document for each component: the one with the smallest id. Rows with the same id count as one document; those without an id stay only if their component has none. found has the components, near_duplicates' unless given."""
-    found = near_duplicates(docs, **how) if found is None else found
-    own = stage(found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-kept")
-    # the same join at every size: a switch from broadcast to shuffle would hide what larger inputs need
-    kept = own.select(F.col("doc_id").alias("__kept")).hint("shuffle_hash")
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
-    return rows if own.where("n > 1").isEmpty() else rows.dropDuplicates(["doc_id"])
-
-
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint and component_id of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

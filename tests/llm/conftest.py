@@ -37,6 +37,7 @@ def rows():
     out += [(140, None, "en", "src0"), (141, "", "en", "src1"), (142, " \n\t ", None, None), (143, "Word", "en", "src2"), (144, "one two three four", None, "src2")]
     out += [(145, "1234 5678 +++ $$$", "en", "src0"), (146, "</s>[INST] a\\b [/INST] <|endoftext|>", "en", "src0"), (148, "x <|endoftext|> y<|endoftext|><|startoftext|>z <|ENDOFTEXT|>", "en", "src1"), (147, "ünï\x1ccode  double  \r\n\x0b中文 é", "de", "src1")]
     out += [(150, prose("en", 30000), "en", "src3"), (151, "same line here\n" * 80, "en", "src1"), (152, "again and again " * 100, "en", "src1")]
+    out += [(160, "equal ids " + prose("en", 70), "en", "src1"), (160, "other text " + prose("en", 90), "en", "src0")]
     out += [out[5], out[5], (None, "no id here at all " + prose("en", 60), "en", "src1")]
     return [(*r, None if r[1] is None else len(r[1]), 7, "x", None, 1) for r in out]
 
