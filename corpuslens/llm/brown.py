@@ -6,10 +6,13 @@ an end token. Every word of the training texts gets a class by its own counts:
 1. Exchange moves units between classes while the likelihood of the class
    bigrams rises. Units are the most frequent words, the end token, and buckets
    of all other words by their last three bytes: a matrix of fixed size.
-2. Each frequent word that is no unit, of a bounded number, leaves its bucket
-   for the class of most gain, from its counts with its neighbours' classes.
-3. All others do so too, by the gain's first order (their counts are nothing to
-   the classes'), from counts that are aggregated by word over all texts.
+2. Every other word leaves its bucket for the class of most gain, to the first
+   order (its counts are little to the classes'), from the classes beside it
+   all over the corpus: first the frequent words, of a bounded number, then all
+   others, whose contexts are aggregated by word.
+
+Texts are cut into words once; a written table then holds their numbers, from
+which classes and scores are counted.
 
 Transitions are then counted anew over all bigrams with the final classes. Only
 words that training never saw take their bucket's class.
@@ -21,7 +24,10 @@ stands for its unseen words. Classes and counts of all words stay distributed:
 a bounded number of the most frequent goes to the tasks, the others are joined.
 
 Null and empty texts score their end token. Rows with equal ids are scored each
-by itself. Without training texts all counts are zero. Any length is read whole.
+by itself, repeated rows alike. Words of equal count are frequent in order of
+their bytes, and of equal gains the first class is taken. Without training texts
+all counts are zero; without rows there are none. Any length is read whole.
+Columns beside doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,13 +45,15 @@ from corpuslens.llm.common import id_bucket, sliced, utf8
 from corpuslens.session import stage
 
 TOP, SUFFIXES, CLASSES = 767, 256, 64
-#: Words whose counts go to the scoring tasks at most; counts of all others are joined.
-HOT = 300_000
+#: Words whose counts go to the scoring tasks at most, and bytes of such a word; counts of all others are joined.
+HOT, HOT_BYTES = 300_000, 64
 #: Words that a task's table holds at most; beyond that it starts anew.
 TABLE = 500_000
 END = b"\n"
 #: Frequent words whose contexts go together in one row.
 BLOCK = 64
+#: Columns of a row of numbered texts: lengths and numbers of tokens by byte planes, the words that have no number, and their buckets.
+NUMBERED = "rid long, held_out boolean, doc_id array<long>, lengths binary, ids binary, rare array<string>, bucket binary"
 
 
 def counted(train: DataFrame) -> DataFrame:
@@ -73,7 +81,7 @@ def counted(train: DataFrame) -> DataFrame:
 
 def frequent(vocab: DataFrame, most: int = HOT) -> list[tuple[bytes, int]]:
     """The most frequent words and their counts, whole levels of the count's logarithm, at most `most`; most frequent first."""
-    level = F.floor(8 * F.log2("c"))
+    vocab, level = vocab.where(F.octet_length("word") <= HOT_BYTES), F.floor(8 * F.log2("c"))
     levels = vocab.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()  # a few hundred at most
     total, least = 0, None
     for row in levels:
@@ -101,39 +109,85 @@ class Units:
         return self.first + zlib.crc32(word[-3:]) % self.suffixes if found is None else found
 
 
-class Table(dict):
-    """A bounded table in front of a function of words."""
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers by byte planes: the upper ones are nearly all zero and compress."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
 
-    def __init__(self, fn):
-        super().__init__()
-        self.fn = fn
+def unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
-    def __missing__(self, word: bytes):
-        if len(self) > TABLE:
-            self.clear()
-        value = self[word] = self.fn(word)
-        return value
 
+def numbered(docs: DataFrame, words: list[bytes], suffixes: int) -> DataFrame:
+    """Rows NUMBERED of docs (doc_id, held_out, text), some hundred texts each: an end token, then each text's tokens and its end token.
 
-def bigrams(train: DataFrame, units: Units) -> DataFrame:
-    """(pair, n) of unit bigrams over all texts, each between end tokens: size * size rows at most."""
-    size = units.size
+    Words are numbered as in `words`; those it lacks follow by their place in the row's `rare`.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = Table(units.unit), None
+        from pyspark import TaskContext
+
+        new: dict[bytes, int] = {}
+
+        class Numbers(dict):
+            """Words without a number get the next of the row."""
+
+            def __missing__(self, word: bytes) -> int:
+                return new.setdefault(word, many + len(new))
+
+        code = Numbers((w, k) for k, w in enumerate(sent.value))
+        many, end, rid = len(code), code[END], TaskContext.get().partitionId() << 33
+
         for batch in sliced(batches):
-            tokens: list[bytes] = [END]
-            for text in utf8(batch):
-                tokens += text.lower().split()
-                tokens.append(END)
-            ids = np.fromiter(map(table.__getitem__, tokens), np.int64, len(tokens))
+            held = np.array(batch.column(1).to_pylist(), bool)
+            texts = utf8(batch)
+            for side in (False, True):
+                own = np.flatnonzero(held == side).tolist()
+                if not own:
+                    continue
+                new.clear()
+                ids, lengths = [np.array([end])], []
+                for i in own:
+                    tokens = texts[i].lower().split()
+                    tokens.append(END)
+                    lengths.append(len(tokens))
+                    ids.append(np.fromiter(map(code.__getitem__, tokens), np.int64, len(tokens)))
+                rare = list(new)
+                yield pa.RecordBatch.from_pydict({
+                    "rid": pa.array([rid], pa.int64()), "held_out": pa.array([side]), "doc_id": pa.array([batch.column(0).take(pa.array(own)).to_pylist()], pa.list_(pa.int64())),
+                    "lengths": pa.array([planes(np.array(lengths))], pa.binary()), "ids": pa.array([planes(np.concatenate(ids))], pa.binary()),
+                    "rare": pa.array([[w.decode("utf-8", "replace") for w in rare]], pa.list_(pa.string())), "bucket": pa.array([bytes(zlib.crc32(w[-3:]) % suffixes for w in rare)], pa.binary()),
+                })
+                rid += 1 << 12
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(run, NUMBERED)
+
+
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, buckets of the rare) of rows (ids, bucket)."""
+    for batch in batches:
+        for ids, bucket in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            yield unplanes(ids), np.frombuffer(bucket, np.uint8)
+
+
+def bigrams(rows: DataFrame, units: Units, words: list[bytes]) -> DataFrame:
+    """(pair, n) of unit bigrams over all rows of numbered texts: size * size rows at most."""
+    size, first = units.size, units.first
+    unit = np.array([units.unit(w) for w in words], np.int64)
+    sent = rows.sparkSession.sparkContext.broadcast(unit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for ids, bucket in parts_of(batches):
+            ids = np.concatenate([sent.value, first + bucket.astype(np.int64)])[ids]
             own = np.bincount(ids[:-1] * size + ids[1:], minlength=size * size)
             total = own if total is None else total + own
         if total is not None:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"pair": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
-    return train.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return rows.select("ids", "bucket").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def clustered(pairs: DataFrame, size: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,41 +267,32 @@ def exchange(b: np.ndarray, classes: int = CLASSES, sweeps: int = 12) -> np.ndar
 
 
 class Hot:
-    """The words that tasks hold, most frequent first, with counts and classes; other words are numbered behind them by their bucket's class."""
+    """The words that tasks hold, most frequent first, with counts and classes; a word of no number has its bucket's class at first."""
 
     def __init__(self, known: list[tuple[bytes, int]], units: Units, of: np.ndarray):
-        self.words, self.units, self.of = [w for w, _ in known], units, of
         self.counts = np.array([c for _, c in known], np.int64)
-        unit = np.array([units.unit(w) for w in self.words], np.int64)
+        unit = np.array([units.unit(w) for w, _ in known], np.int64)
         self.cls, self.placed = of[unit].astype(np.int64), unit < units.first
-
-    def bucket(self, word: bytes) -> int:
-        return int(self.of[self.units.unit(word)])
-
-    def table(self) -> Table:
-        code, many = {w: k for k, w in enumerate(self.words)}, len(self.words)
-        return Table(lambda w: code[w] if w in code else many + self.bucket(w))
+        self.bucket = of[units.first :].astype(np.int64)
 
 
-def numbered(batch: pa.RecordBatch, table: dict) -> np.ndarray:
-    """Numbers of the tokens of all texts, between end tokens."""
-    tokens: list[bytes] = [END]
-    for text in utf8(batch):
-        tokens += text.lower().split()
-        tokens.append(END)
-    return np.fromiter(map(table.__getitem__, tokens), np.int64, len(tokens))
+def worth_of(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """To the first order, what each class gains from a word for a neighbour of each class: the next one, the previous one."""
+    log, mass = np.log(np.maximum(g, 1)), np.log(np.maximum(g.sum(axis=0), 1))
+    after, before = log.T - mass, log - mass
+    for x in (after, before):
+        x[:, 0] = -1e9  # the end token's class is its own
+    return after, before
 
 
-def hot_classes(train: DataFrame, hot: Hot, g: np.ndarray, classes: int) -> np.ndarray:
+def hot_classes(rows: DataFrame, hot: Hot, g: np.ndarray, classes: int) -> np.ndarray:
     """Classes of hot's words: the units keep theirs, each other word takes the class of most gain."""
-    shared, codes = train.sparkSession.sparkContext.broadcast(hot), 2 * classes + 1
+    shared, codes = rows.sparkSession.sparkContext.broadcast(hot), 2 * classes
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
-        table, many = hot.table(), len(hot.words)
-        cls = np.concatenate([hot.cls, np.arange(classes)])
-        free = np.concatenate([~hot.placed, np.zeros(classes, bool)])
-        found, held = [], 0
+        hot, found, held = shared.value, [], 0
+        free = np.append(~hot.placed, np.zeros(1, bool))
+        many = len(hot.cls)
 
         def flush() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate(found), return_counts=True)
@@ -258,11 +303,10 @@ def hot_classes(train: DataFrame, hot: Hot, g: np.ndarray, classes: int) -> np.n
             parts = list(zip(edge.tolist(), ends))
             return pa.RecordBatch.from_pydict({"block": pa.array(block[edge], pa.int64()), "k": pa.array([k[i:j].tobytes() for i, j in parts], pa.binary()), "n": pa.array([n[i:j].tobytes() for i, j in parts], pa.binary())})
 
-        for batch in sliced(batches):
-            ids = numbered(batch, table)
-            c, at = cls[ids], np.flatnonzero(free[ids])
+        for ids, bucket in parts_of(batches):
+            c, at = np.concatenate([hot.cls, hot.bucket[bucket]])[ids], np.flatnonzero(free[np.minimum(ids, many)])
             word = ids[at] * codes
-            found += [word + c[at + 1], word + classes + c[at - 1], word[ids[at] == ids[at + 1]] + 2 * classes]
+            found += [word + c[at + 1], word + classes + c[at - 1]]
             held += 2 * len(at)
             if held > 1 << 22:
                 yield flush()
@@ -270,66 +314,37 @@ def hot_classes(train: DataFrame, hot: Hot, g: np.ndarray, classes: int) -> np.n
         if held:
             yield flush()
 
+    worth = np.concatenate(worth_of(g))
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, k, n in zip(*(x.to_pylist() for x in batch.columns)):
                 own = blocks.setdefault(block, np.zeros(BLOCK * codes, np.int64))
                 own[np.frombuffer(k, "<u2")] += np.frombuffer(n, "<u4")
-        hot, mass = shared.value, g.sum(axis=0)
         for block, counts in blocks.items():
-            out = {"code": [], "cls": []}
-            for k, row in enumerate(counts.reshape(BLOCK, codes).astype(float)):
-                if weight := row[:classes].sum():
-                    a, own = int(hot.cls[block * BLOCK + k]), row[-1]
-                    nxt, prv = row[:classes].copy(), row[classes:-1].copy()
-                    nxt[a] -= own
-                    prv[a] -= own
-                    rest, left = g.copy(), mass.copy()
-                    rest[a] -= nxt
-                    rest[:, a] -= prv
-                    rest[a, a] -= own
-                    left[a] -= weight
-                    out["code"].append(block * BLOCK + k)
-                    out["cls"].append(int(np.argmax(gains(rest, left, nxt, prv, own, weight))))
-            yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in out.items()})
-
-    got = train.select("text").mapInArrow(contexts, "block long, k binary, n binary").repartition("block").mapInArrow(best, "code long, cls long").toArrow()  # a row for each hot word at most
+            counts = counts.reshape(BLOCK, codes)
+            met = np.flatnonzero(counts.any(axis=1))
+            yield pa.RecordBatch.from_pydict({"code": pa.array(block * BLOCK + met), "cls": pa.array((counts[met] @ worth).argmax(axis=1))})
+
+    got = rows.select("ids", "bucket").mapInArrow(contexts, "block long, k binary, n binary").repartition("block").mapInArrow(best, "code long, cls long").toArrow()  # a row for each hot word at most
     cls = hot.cls.copy()
     cls[got.column("code").to_numpy()] = got.column("cls").to_numpy()
     return cls
 
 
-def rare_classes(train: DataFrame, hot: Hot, g: np.ndarray, classes: int) -> tuple[DataFrame, np.ndarray]:
+def rare_classes(rows: DataFrame, hot: Hot, g: np.ndarray, classes: int) -> tuple[DataFrame, np.ndarray]:
     """(word, c, cls) of all training words that hot lacks, and the counts of class bigrams with the final classes of all words.
 
     A context's code is the neighbour's class, next or previous, hot or not.
     Bigrams of two hot words are counted where they are read, those of a hot
     and another word from the other's contexts, the rest by joining both.
     """
-    shared = train.sparkSession.sparkContext.broadcast(hot)
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
-        many, code = len(hot.words), {w: k for k, w in enumerate(hot.words)}
-        names: list[bytes] = []
-        cls = np.concatenate([hot.cls, np.zeros(2 * TABLE, np.int64)])
-        total = np.zeros(classes * classes, np.int64)
-        found: list[np.ndarray] = []
-
-        def number(word: bytes) -> int:
-            if (k := code.get(word)) is None:
-                k = many + len(names)
-                if k >= len(cls):
-                    cls.resize(2 * len(cls), refcheck=False)
-                cls[k] = hot.bucket(word)
-                names.append(word)
-            return k
-
-        class Numbers(dict):
-            def __missing__(self, word: bytes) -> int:
-                k = self[word] = number(word)
-                return k
+        hot, names, found, held = shared.value, {}, [], 0
+        many, total = len(hot.cls), np.zeros(classes * classes, np.int64)
 
         def rows(kind: int, size: int, **own) -> pa.RecordBatch:
             kinds = {"word": pa.string(), "other": pa.string(), "pair": pa.int64(), "n": pa.int64(), "codes": pa.binary()}
@@ -343,38 +358,34 @@ def rare_classes(train: DataFrame, hot: Hot, g: np.ndarray, classes: int) -> tup
                 data = (key & 255).astype(np.uint8)
                 offsets = np.append(edge, len(key)).astype(np.int32)
                 codes = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-                yield rows(0, len(edge), word=pa.array(names, pa.binary()).take(pa.array(word[edge])).cast(pa.string()), codes=codes)
+                yield rows(0, len(edge), word=pa.array(list(names), pa.string()).take(pa.array(word[edge])), codes=codes)
 
-        numbers, held = Numbers(), 0
-        for batch in sliced(batches):
-            ids = numbered(batch, numbers)
-            c, rare = cls[ids], ids >= many
-            at = np.flatnonzero(rare)  # the end token is never rare
-            word = (ids[at] - many) << 8
-            found += [word + c[at + 1] + classes * rare[at + 1], word + 2 * classes + c[at - 1] + classes * rare[at - 1]]
-            both = ~(rare[1:] | rare[:-1])
-            total += np.bincount((c[:-1] * classes + c[1:])[both], minlength=classes * classes)
-            two = np.flatnonzero(rare[1:] & rare[:-1])
-            if len(two):
-                known = pa.array([names[k] for k in (ids[two] - many).tolist()], pa.binary()).cast(pa.string())
-                after = pa.array([names[k] for k in (ids[two + 1] - many).tolist()], pa.binary()).cast(pa.string())
-                yield rows(1, len(two), word=known, other=after, n=pa.array(np.ones(len(two), np.int64)))
-            held += 2 * len(at)
-            if len(names) > TABLE or held > 1 << 23:
-                yield from flush()
-                found.clear()
-                names.clear()
-                numbers.clear()
-                held = 0
+        for batch in batches:
+            for r, (ids, bucket) in enumerate(parts_of([batch])):
+                c, rare = np.concatenate([hot.cls, hot.bucket[bucket]])[ids], ids >= many
+                own = batch.column(2)[r].values
+                number = np.array([names.setdefault(w, len(names)) for w in own.to_pylist()], np.int64)
+                at = np.flatnonzero(rare)  # the end token is never rare
+                word = number[ids[at] - many] << 8
+                found += [word + c[at + 1] + classes * rare[at + 1], word + 2 * classes + c[at - 1] + classes * rare[at - 1]]
+                both = ~(rare[1:] | rare[:-1])
+                total += np.bincount((c[:-1] * classes + c[1:])[both], minlength=classes * classes)
+                two = np.flatnonzero(rare[1:] & rare[:-1])
+                if len(two):
+                    pair, n = np.unique((ids[two] - many) * len(bucket) + ids[two + 1] - many, return_counts=True)
+                    yield rows(1, len(pair), word=own.take(pa.array(pair // len(bucket))), other=own.take(pa.array(pair % len(bucket))), n=pa.array(n, pa.int64()))
+                held += 2 * len(at)
+                if len(names) > TABLE or held > 1 << 23:
+                    yield from flush()
+                    found, held = [], 0
+                    names.clear()
         yield from flush()
         at = np.flatnonzero(total)
         yield rows(2, len(at), pair=pa.array(at, pa.int64()), n=pa.array(total[at], pa.int64()))
 
-    parts = stage(train.select("text").mapInArrow(read, "kind int, word string, other string, pair long, n long, codes binary"), "brown-contexts")
-    log, mass = np.log(np.maximum(g, 1)), np.log(np.maximum(g.sum(axis=0), 1))
-    # first order of the gain by context code; the end token's class is its own
-    worth = np.concatenate([log.T, log.T, log, log]) - np.tile(mass, (4 * classes, 1))
-    worth[:, 0] = -1e9
+    parts = stage(rows.select("ids", "bucket", "rare").mapInArrow(read, "kind int, word string, other string, pair long, n long, codes binary"), "brown-contexts")
+    after, before = worth_of(g)
+    worth = np.concatenate([after, after, before, before])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 2048):
@@ -409,7 +420,6 @@ def rare_classes(train: DataFrame, hot: Hot, g: np.ndarray, classes: int) -> tup
 #: Columns of scoring: a rare word between two classes (kind 0, -1 where a rare word or nothing stands), two rare words (1), a text without those (2).
 ROWS = {"kind": pa.int32(), "rid": pa.int64(), "word": pa.string(), "other": pa.string(), "own": pa.int32(), "left": pa.int32(), "right": pa.int32(), "n": pa.int64()}
 ROWS |= {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "moves": pa.float64(), "logs": pa.float64()}
-NONE = (None,) * 6
 
 
 def transitions(b: np.ndarray, of: np.ndarray, classes: int, strength: float = 1.0) -> np.ndarray:
@@ -420,59 +430,84 @@ def transitions(b: np.ndarray, of: np.ndarray, classes: int, strength: float = 1
     return np.log10((g + strength * share) / (g.sum(axis=1, keepdims=True) + strength))
 
 
-def scored(docs: DataFrame, vocab: DataFrame, held_out=None, top: int = TOP, suffixes: int = SUFFIXES, classes: int = CLASSES, hot: int = HOT, train: DataFrame | None = None) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs (doc_id, held_out, text); vocab counts train's tokens."""
-    n_all, v_all = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+class Model:
+    """What training finds: the frequent words with counts and classes, all others as rows (word, c, cls), and the logarithms of transitions and of the classes' room."""
+
+    def __init__(self, hot: Hot, names: list[bytes], rare: DataFrame, g: np.ndarray, classes: int):
+        self.hot, self.names, self.rare, self.g, self.classes = hot, names, rare, g, classes
+        self.step = transitions(g, np.arange(classes), classes)
+        n, v = np.bincount(hot.cls, hot.counts, classes), np.bincount(hot.cls[hot.counts > 0], minlength=classes).astype(float)
+        for r in rare.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # a row for each class
+            n[r["cls"]] += r["n"]
+            v[r["cls"]] += r["v"]
+        self.room = np.log10(n + v + 1)
+
+
+def learned(docs: DataFrame, vocab: DataFrame, top: int = TOP, suffixes: int = SUFFIXES, classes: int = CLASSES, hot: int = HOT) -> tuple[Model, DataFrame]:
+    """The model, and docs (doc_id, held_out, text) as numbered texts; vocab counts the tokens of those not held out."""
     known = frequent(vocab, hot)
     if END not in dict(known):
-        known += [(END, r["c"]) for r in vocab.where(F.col("word") == END.decode()).collect()]
-    units = Units([w for w, _ in known[:top]], suffixes)
-    of, g = clustered(bigrams(train, units), units.size, classes)
-    model = Hot(known, units, of)
-    model.cls = hot_classes(train, model, g, classes)
-    rare, g = rare_classes(train, model, g, classes)
-    step = transitions(g, np.arange(classes), classes)
-    n_class, v_class = np.bincount(model.cls, model.counts, classes), np.bincount(model.cls, minlength=classes).astype(float)
-    for r in rare.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
-        n_class[r["cls"]] += r["n"]
-        v_class[r["cls"]] += r["v"]
-    room = np.log10(n_class + v_class + 1)
+        known = [*known, *((END, r["c"]) for r in vocab.where(F.col("word") == END.decode()).collect())]
+    if END not in dict(known):  # no training texts
+        known = [(END, 0)]
+    names = [w for w, _ in known]
+    tokens = stage(numbered(docs, names, suffixes), "brown-tokens")
+    train = tokens.where("not held_out")
+    units = Units(names[:top], suffixes)
+    of, g = clustered(bigrams(train, units, names), units.size, classes)
+    found = Hot(known, units, of)
+    found.cls = hot_classes(train, found, g, classes)
+    rare, g = rare_classes(train, found, g, classes)
+    return Model(found, names, rare, g, classes), tokens
+
+
+def scored(docs: DataFrame, vocab: DataFrame, **how) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs (doc_id, held_out, text)."""
+    n_all, v_all = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    trained, tokens = learned(docs, vocab, **how)
+    model, rare, step, room, classes = trained.hot, trained.rare, trained.step, trained.room, trained.classes
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         model = shared.value
-        many, table = len(model.words), model.table()
-        cls = np.concatenate([model.cls, np.arange(classes)])
-        log = np.concatenate([np.log10(model.counts + 1.0) - room[model.cls], np.zeros(classes)])
-        base = np.concatenate([np.log10(model.counts + 1.0), np.zeros(classes)])
-        row = TaskContext.get().partitionId() << 33
-        for batch in sliced(batches):
-            part = {k: [] for k in ROWS}
-            words: list[tuple] = []
-            for doc, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch)):
-                tokens = text.lower().split()
-                tokens.append(END)
-                ids = np.fromiter(map(table.__getitem__, tokens), np.int64, len(tokens))
-                c, r = cls[ids], ids >= many
-                before, met = np.concatenate([[0], c[:-1]]), np.concatenate([[False], r[:-1]])
-                moves = float(step[before, c][~(r | met)].sum() + log[ids].sum())
-                at = np.flatnonzero(r)
-                words.append((2, row, None, None, 0, -1, -1, 0, doc, held, len(tokens), len(tokens) - len(at), moves, float(base[ids].sum())))
-                if len(at):
-                    left = np.where(met[at], -1, before[at]).tolist()
-                    right = np.where(np.append(r, True)[at + 1], -1, np.append(c, 0)[at + 1]).tolist()
-                    own = [tokens[i] for i in at.tolist()]
-                    words += [(0, row, w, None, k, i, j, n, *NONE) for (w, k, i, j), n in Counter(zip(own, c[at].tolist(), left, right)).items()]
-                    two = np.flatnonzero(r & met).tolist()
-                    words += [(1, row, tokens[i - 1], tokens[i], int(c[i]), int(c[i - 1]), -1, 1, *NONE) for i in two]
-                row += 1
-            for k, x in zip(part, zip(*words)):
-                part[k] = x
-            yield pa.RecordBatch.from_pydict({k: pa.array(part[k], pa.binary()).cast(pa.string()) if t == pa.string() else pa.array(part[k], t) for k, t in ROWS.items()})
-
-    rows = stage(docs.select("doc_id", "held_out", "text").mapInArrow(run, "kind int, rid long, word string, other string, own int, left int, right int, n long, doc_id long, held_out boolean, n_tokens long, n_known long, moves double, logs double"), "brown-rows")
+        many = len(model.cls)
+        base, log = np.log10(model.counts + 1.0), np.log10(model.counts + 1.0) - room[model.cls]
+
+        def rows(kind: int, size: int, **own) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(size, kind), pa.int32())} | {k: own[k] if k in own else pa.nulls(size, t) for k, t in ROWS.items() if k != "kind"})
+
+        for batch in batches:
+            for at, (ids, bucket) in enumerate(parts_of([batch])):
+                first, held, docs, lengths, words = (batch.column(k)[at] for k in (2, 3, 4, 5, 6))
+                lengths = unplanes(lengths.as_py())
+                ids, c = ids[1:], np.concatenate([model.cls, model.bucket[bucket]])[ids]
+                before, c = c[:-1], c[1:]
+                rare = ids >= many
+                met = np.append(False, rare[:-1])
+                zero = np.zeros(len(bucket))
+                own = np.where(rare | met, 0.0, step[before, c]) + np.concatenate([log, zero])[ids]
+                start = np.cumsum(lengths) - lengths
+                unknown = np.add.reduceat(rare.astype(np.int64), start)
+                yield rows(2, len(lengths), rid=pa.array(first.as_py() + np.arange(len(lengths))), doc_id=docs.values, held_out=pa.array([held.as_py()] * len(lengths)), n_tokens=pa.array(lengths), n_known=pa.array(lengths - unknown), moves=pa.array(np.add.reduceat(own, start)), logs=pa.array(np.add.reduceat(np.concatenate([base, zero])[ids], start)))
+                place = np.flatnonzero(rare)
+                if len(place):
+                    doc, word = np.repeat(np.arange(len(lengths)), lengths)[place], ids[place] - many
+                    left, right = np.where(met[place], -1, before[place]), np.where(rare[place + 1], -1, c[place + 1])  # the last token is an end
+                    key, n = np.unique(((doc * len(bucket) + word) * (classes + 1) + left + 1) * (classes + 1) + right + 1, return_counts=True)
+                    key, right = np.divmod(key, classes + 1)
+                    key, left = np.divmod(key, classes + 1)
+                    doc, word = np.divmod(key, len(bucket))
+                    yield rows(0, len(n), rid=pa.array(first.as_py() + doc), word=words.values.take(pa.array(word)), own=pa.array(model.bucket[bucket[word]], pa.int32()), left=pa.array(left - 1, pa.int32()), right=pa.array(right - 1, pa.int32()), n=pa.array(n, pa.int64()))
+                two = np.flatnonzero(rare & met)
+                if len(two):
+                    doc = np.repeat(np.arange(len(lengths)), lengths)[two]
+                    key, n = np.unique((doc * len(bucket) + ids[two - 1] - many) * len(bucket) + ids[two] - many, return_counts=True)
+                    key, word = np.divmod(key, len(bucket))
+                    doc, known = np.divmod(key, len(bucket))
+                    yield rows(1, len(n), rid=pa.array(first.as_py() + doc), word=words.values.take(pa.array(known)), other=words.values.take(pa.array(word)), own=pa.array(model.bucket[bucket[word]], pa.int32()), left=pa.array(model.bucket[bucket[known]], pa.int32()), right=pa.array(np.full(len(n), -1), pa.int32()), n=pa.array(n, pa.int64()))
+
+    kinds = "kind int, rid long, word string, other string, own int, left int, right int, n long, doc_id long, held_out boolean, n_tokens long, n_known long, moves double, logs double"
+    rows = stage(tokens.select("ids", "bucket", "rid", "held_out", "doc_id", "lengths", "rare").mapInArrow(run, kinds), "brown-rows")
     move = lambda a, b: F.lit(step.ravel())[a * classes + b]
     two = rows.where("kind = 1").join(rare.select("word", "cls"), "word", "left")
     two = two.select("rid", F.col("other").alias("word"), "own", F.coalesce("cls", "left").alias("left"), "right", "n", F.lit(0).alias("first"))
@@ -494,5 +529,4 @@ def scored(docs: DataFrame, vocab: DataFrame, held_out=None, top: int = TOP, suf
 def op3_brown(spark, sf_dir: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (id_bucket("doc_id", 7) == 2).alias("held_out"), "text")
-    train = docs.where("not held_out")
-    return scored(docs, stage(counted(train), "brown-vocab"), train=train)
+    return scored(docs, stage(counted(docs.where("not held_out")), "brown-vocab"))
