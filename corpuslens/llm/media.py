@@ -10,12 +10,17 @@ alone and stay, compressed, in their payload's row; all others leave a digest in
 the row's ordered chunk list and go to the chunk store, one row for each digest
 after a Spark aggregation. A full filter only sends more chunks that way.
 
+A second pass writes lists and shared chunks in one table, from which the store
+takes each digest once.
+
 Reading joins the lists with the store, puts the chunks in order, checks every
 digest and the payload's, and computes features from what it has read.
 
-The stored form of a payload is its container: magic, lengths, chunk list and
-the frames that were read back. Null and empty texts are 64 zero bytes. Rows with equal ids are stored
-each by itself, equal texts with equal values. An empty table gives no rows.
+The stored form of a payload is what the lists and the store hold of it: digest
+and frame of each chunk, in order. Null and empty texts are 64 zero bytes. Rows
+with equal ids are stored each by itself, equal texts with equal values. Texts of
+any length are cut whole. An empty table gives no rows. Columns beside doc_id and
+text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -82,10 +87,9 @@ def key(digest: bytes) -> int:
     return int.from_bytes(digest[:7], "little")
 
 
-def container(size: int, rows: list[dict]) -> bytes:
-    """The stored form of a payload of size bytes: magic, lengths, the chunk list and the frames as they were stored, in order."""
-    head = struct.pack("<4sQI", b"CDC2", size, len(rows))
-    return head + b"".join(struct.pack("<I", len(r["frame"])) + r["digest"] for r in rows) + b"".join(r["frame"] for r in rows)
+def stored(rows: list[dict]) -> bytes:
+    """What is stored of a payload: its chunks' digests and frames, in order."""
+    return b"".join(r["digest"] + r["frame"] for r in rows)
 
 
 def shared_filter(texts: DataFrame) -> np.ndarray:
@@ -105,7 +109,7 @@ def shared_filter(texts: DataFrame) -> np.ndarray:
 
 
 def write(docs: DataFrame, path: str) -> None:
-    """Writes the payloads of docs (doc_id, text): lists with unshared chunks to path/lists, shared chunks once each to path/chunks."""
+    """Writes the payloads of docs (doc_id, text): lists with unshared chunks (kind 0) and shared chunks as tasks met them (1) to path/parts, shared chunks once each to path/chunks."""
     sent = docs.sparkSession.sparkContext.broadcast(shared_filter(docs.select("text")))
 
     def is_shared(digest: bytes, words: np.ndarray) -> bool:
@@ -113,36 +117,40 @@ def write(docs: DataFrame, path: str) -> None:
         return bool(int(words[bit >> 6]) >> (bit & 63) & 1)
 
     chunk = pa.struct([("digest", pa.binary()), ("frame", pa.binary())])
+    kinds = {"rid": pa.int64(), "doc_id": pa.int64(), "n_bytes": pa.int64(), "sha": pa.binary(), "chunks": pa.list_(chunk), "digest": pa.binary(), "frame": pa.binary()}
+
+    def rows(kind: int, size: int, **own) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(size, kind), pa.int32())} | {k: pa.array(own[k], t) if k in own else pa.nulls(size, t) for k, t in kinds.items()})
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pack, words = zstandard.ZstdCompressor(level=LEVEL).compress, sent.value
-        rid = TaskContext.get().partitionId() << 33
-        for batch in sliced(batches):
-            rows, digest = [], []
-            for text in utf8(batch):
-                data = payload(text)
-                digest.append((len(text), hashlib.sha256(data).digest()))
-                rows.append([{"digest": d, "frame": None if is_shared(d, words) else pack(c)} for d, c in chunks(data)])
-            n = len(rows)
-            yield pa.RecordBatch.from_pydict({"rid": pa.array(range(rid, rid + n), pa.int64()), "doc_id": batch.column(0).cast(pa.int64()), "n_bytes": pa.array([n for n, _ in digest], pa.int64()), "sha": pa.array([d for _, d in digest], pa.binary()), "chunks": pa.array(rows, pa.list_(chunk))})
-            rid += n
-
-    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, words, seen = zstandard.ZstdCompressor(level=LEVEL).compress, sent.value, set()
+        rid = TaskContext.get().partitionId() << 33
         for batch in sliced(batches):
-            new = {}
+            size, sha, lists, new = [], [], [], {}
             for text in utf8(batch):
-                new |= {d: c for d, c in chunks(payload(text)) if d not in seen and is_shared(d, words)}
-            seen |= new.keys()
+                data, own = payload(text), []
+                for d, c in chunks(data):
+                    both = is_shared(d, words)
+                    own.append({"digest": d, "frame": None if both else pack(c)})
+                    if both and d not in seen:
+                        seen.add(d)
+                        new[d] = pack(c)
+                size.append(len(text))
+                sha.append(hashlib.sha256(data).digest())
+                lists.append(own)
             if len(seen) > 1_000_000:  # a digest may then be sent again, and is dropped after the shuffle
                 seen.clear()
-            yield pa.RecordBatch.from_pydict({"digest": pa.array(list(new), pa.binary()), "frame": pa.array([pack(c) for c in new.values()], pa.binary())})
+            yield rows(0, len(lists), rid=range(rid, rid + len(lists)), doc_id=batch.column(0).to_pylist(), n_bytes=size, sha=sha, chunks=lists)
+            if new:
+                yield rows(1, len(new), digest=list(new), frame=list(new.values()))
+            rid += len(lists)
 
-    rows = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    rows.mapInArrow(lists, "rid long, doc_id long, n_bytes long, sha binary, chunks array<struct<digest: binary, frame: binary>>").write.option("compression", "none").parquet(f"{path}/lists")
-    rows.select("text").mapInArrow(stored, "digest binary, frame binary").groupBy("digest").agg(F.first("frame").alias("frame")).write.option("compression", "none").parquet(f"{path}/chunks")
+    texts = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
+    texts.mapInArrow(parts, "kind int, rid long, doc_id long, n_bytes long, sha binary, chunks array<struct<digest: binary, frame: binary>>, digest binary, frame binary").write.option("compression", "none").parquet(f"{path}/parts")
+    met = docs.sparkSession.read.parquet(f"{path}/parts").where("kind = 1")
+    met.groupBy("digest").agg(F.first("frame").alias("frame")).write.option("compression", "none").parquet(f"{path}/chunks")
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -159,7 +167,7 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if hashlib.blake2b(c, digest_size=16).digest() != d:
                     raise ValueError(f"chunk {d.hex()} of document {doc} is damaged")
             data = b"".join(c for _, c in parts)
-            media = container(len(data), rows)
+            media = stored(rows)
             digest = hashlib.sha256(data)
             if digest.digest() != sha:
                 raise ValueError(f"payload of document {doc} is damaged")
@@ -174,7 +182,7 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(spark, path: str) -> DataFrame:
     """Features of all payloads, read back from the lists and the store."""
-    lists = spark.read.parquet(f"{path}/lists")
+    lists = spark.read.parquet(f"{path}/parts").where("kind = 0")
     lacking = F.exists("chunks", lambda c: c["frame"].isNull())
     own = lists.where(~lacking).select("doc_id", "n_bytes", "sha", "chunks")
     parts = lists.where(lacking)
