@@ -2,37 +2,46 @@
 
 Targets: sources in order of code points, null last, weigh 1, 2, 3, repeating;
 shares of all words are capped at three times a source's own, the excess going
-to the others by weight. The cap binds in the order of words over weight, so
-running sums over the sources give the level of the water at once.
+to the others by weight. The level of that water rises step by step, each a sum
+over the sources that the cap leaves.
 
 Rates: each source asks that the sum of rate * words equals its target. Of all
-rates between 0 and 3 those of least relative entropy from 1 have the form
-3 / (1 + 2 exp(-lambda * words)), an exponential tilt of the odds. Their
-multiplier solves the dual, convex in lambda, by Newton steps kept inside a
-bracket. Documents enter only through counts of (source, words), an exact and
-much smaller statistic, which every step sums up in Spark.
+rates between 0 and 3 those of least relative entropy from 1 are
+exp(lambda * words), cut at 3: documents at the cap leave the dual, whose
+multiplier Newton steps solve inside a bracket. Documents enter only through
+counts of (source, words), an exact and much smaller statistic, which every step
+sums up in Spark; only the state, a row for each source, is broadcast, and only
+below a bound on its rows.
 
 Copies: over the sizes of a source, longest first, running sums of rates are
-rounded, which gives each size its number of copies; what this leaves in words is evened
-out by single copies of the shortest documents. Documents of a size share their
-copies by rank of a hash, so a rerun takes the same.
+rounded, which gives each size its number of copies; what this leaves in words is
+evened out by single copies of the shortest documents. Documents of a size share
+their copies by rank of a hash, so a rerun takes the same.
 
 Null texts and texts without words have size 0 and are never taken; a source
-without words has target 0. Null sources are one source. Repeated rows are rows
-of their own. An empty table gives no rows.
+without words has target 0. Null sources are one source. Repeated rows and rows
+of equal ids are rows of their own; of equal rows any takes any of their copies.
+Texts of any length count whole. An empty table gives no rows. Extra columns
+pass through the mix whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.llm.ranks import ranked
+from corpuslens.operators.ordering import positioned
 from corpuslens.session import stage
 
 #: Copies of a document at most.
 CAP = 3
-STEPS = 60
+#: Steps after which an unsettled dual is an error.
+STEPS = 100
+#: Sources up to which the state is broadcast; beyond that it is joined by a shuffle.
+SMALL = 10_000
 #: Words by which a source may miss its target before rounding, relative to it.
 TOLERANCE = 1e-7
 BLANK = r"[\x20\x09-\x0D]+"
@@ -47,38 +56,36 @@ def words(text: Column) -> Column:
 def targets(hist: DataFrame, weights: int = 3, cap: int = CAP) -> DataFrame:
     """(source, source_size, target) from (source, size, n)."""
     sums = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
-    weighed = sums.withColumn("w", ((F.row_number().over(ordered) - 1) % weights + 1).cast("double"))
-    low = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").asc_nulls_last())
-    upto, all_rows = low.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    level = (
-        weighed.withColumn("total", F.sum("source_size").over(all_rows))
-        .withColumn("capped", F.coalesce(F.sum(F.col("source_size") * cap).over(upto), F.lit(0)))
-        .withColumn("rest", F.sum("w").over(all_rows) - F.coalesce(F.sum("w").over(upto), F.lit(0.0)))
-        .withColumn("share", (F.col("total") - F.col("capped")) / F.col("rest"))
-    )
-    # sharing the rest rises while sources that the cap binds leave, and falls after: its peak is the level
-    water = F.max("share").over(all_rows)
-    return level.select("source", "source_size", F.least(F.col("source_size") * cap, F.coalesce(water, F.lit(0.0)) * F.col("w")).cast("double").alias("target"))
+    weighed = positioned(sums, [F.col("source").asc_nulls_last()], "at")
+    weighed = stage(weighed.select("source", "source_size", ((F.col("at") - 1) % weights + 1).cast("double").alias("w")), "mix-weights")
+    total, most = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(1.0))).first()
+    water, seen = total / most, None
+    while water != seen:  # each step lets more sources reach the cap and the rest share what those leave
+        seen = water
+        over = F.col("source_size") * cap < F.lit(water) * F.col("w")
+        taken, rest = weighed.agg(F.coalesce(F.sum(F.when(over, F.col("source_size") * cap)), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("w"))), F.lit(0.0))).first()
+        water = max(water, (total - taken) / rest) if rest else water
+    return weighed.select("source", "source_size", F.least(F.col("source_size") * cap, F.lit(water) * F.col("w")).cast("double").alias("target"))
 
 
 def rate(tilt: Column, size: Column, scale: Column, cap: int = CAP) -> Column:
-    """cap / (1 + (cap - 1) exp(-tilt * size / scale)), without overflow."""
-    return F.lit(float(cap)) / (1 + (cap - 1) * F.exp(F.greatest(F.least(-tilt * size / scale, F.lit(700.0)), F.lit(-700.0))))
+    """exp(tilt * size / scale), cut at cap."""
+    return F.when(tilt * size >= F.lit(math.log(cap)) * scale, F.lit(float(cap))).otherwise(F.exp(F.greatest(tilt * size / scale, F.lit(-700.0))))
 
 
 def balanced(hist: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame:
     """(source, tilt, scale) by Newton steps on the dual; each step is one aggregation over hist."""
     scales = hist.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.greatest(F.sum("n"), F.lit(1))).alias("mean"))
-    state = goals.join(scales, goals["source"].eqNullSafe(scales["source"])).select(goals["source"], "target", F.greatest("mean", F.lit(1e-9)).alias("scale"), F.lit(0.0).alias("tilt"), F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"))
-    state = stage(state, "mix-state")
+    state = goals.join(scales, goals["source"].eqNullSafe(scales["source"])).select(goals["source"], "target", F.greatest("mean", F.lit(1e-9)).alias("scale"), F.when(F.col("target") >= cap * F.col("source_size") * (1 - TOLERANCE), 2e3).otherwise(0.0).alias("tilt"), F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"))
+    state = stage(state, "mix-state")  # a source that takes all it may has no inner solution
+    sent = F.broadcast if state.count() <= SMALL else lambda df: df.hint("merge")
     for _ in range(STEPS):
         x = F.col("size") / F.col("scale")
         r = rate(F.col("tilt"), F.col("size"), F.col("scale"), cap)
         sums = (
-            hist.join(state.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+            hist.join(sent(state.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
             .groupBy("source")
-            .agg(F.sum(F.col("n") * r * F.col("size")).alias("got"), F.sum(F.col("n") * r * (1 - r / cap) * x * F.col("size")).alias("slope"))
+            .agg(F.sum(F.col("n") * r * F.col("size")).alias("got"), F.sum(F.when(r < cap, F.col("n") * r * x * F.col("size")).otherwise(0.0)).alias("slope"))
             .withColumnRenamed("source", "s")
         )
         lo = F.when(F.col("got") < F.col("target"), F.col("tilt")).otherwise(F.col("lo"))
@@ -89,20 +96,21 @@ def balanced(hist: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame:
         middle = F.when(F.col("hi") >= 1e4, 2 * F.greatest("lo", F.lit(0.5))).when(F.col("lo") <= -1e4, 2 * F.least("hi", F.lit(-0.5))).otherwise((F.col("lo") + F.col("hi")) / 2)
         after = (
             state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left")
-            .withColumns({"lo": lo, "hi": hi, "done": F.coalesce(done, F.lit(True))})
+            .withColumns({"lo": lo, "hi": hi, "done": F.coalesce(done, F.lit(True)) | (F.col("hi") - F.col("lo") <= 1e-12 * F.abs("tilt"))})
             .withColumn("next", F.when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise(middle))
             .select("source", "target", "scale", F.when(F.col("done"), F.col("tilt")).otherwise(F.greatest(F.least("next", F.lit(2e3)), F.lit(-2e3))).alias("tilt"), "lo", "hi", "done")
         )
         state = stage(after, "mix-state")
-        if state.where("not done and abs(tilt) < 2e3").isEmpty():
-            break
+        if state.where("not done and abs(tilt) < 2e3").isEmpty():  # at 2e3 all but the shortest texts are at a bound
+            return state.select("source", "tilt", "scale")
         state = state.drop("done")
-    return state.select("source", "tilt", "scale")
+    raise RuntimeError(f"the dual did not settle in {STEPS} steps")
 
 
 def copies_by_size(hist: DataFrame, goals: DataFrame, tilts: DataFrame, cap: int = CAP) -> DataFrame:
     """(source, size, n, many): copies of all documents of a source and size together."""
     both = goals.join(tilts.withColumnRenamed("source", "s"), goals["source"].eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), "source_size", "target", "tilt", "scale")
+    # sizes of a source meet in a window: as many as its texts have different numbers of words
     rows = hist.join(both, F.col("source").eqNullSafe(F.col("s"))).where("size > 0")
     longest = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
     run = F.round(F.sum(F.col("n") * rate(F.col("tilt"), F.col("size"), F.col("scale"), cap)).over(longest), 6)
@@ -118,8 +126,8 @@ def copies_by_size(hist: DataFrame, goals: DataFrame, tilts: DataFrame, cap: int
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = CAP) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) of every row."""
-    sized = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size")), "mix-sizes")
+    """(doc_id, key, source, size, source_size, target, copies) of every row; key is a hash of its id, text and source."""
+    sized = stage(docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col, source_col).alias("key"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size")), "mix-sizes")
     hist = stage(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-hist")
     goals = stage(targets(hist, cap=cap), "mix-goals")
     many = copies_by_size(hist, goals, balanced(hist, goals, cap), cap)
@@ -131,18 +139,30 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         "mix-shares",
     )
     total = hist.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rank = ranked(sized.withColumn("draw", F.xxhash64("doc_id")), ["source", "size"], ["draw", "doc_id"], total, "place")
+    rank = ranked(sized, ["source", "size"], ["key", "doc_id"], total, "place")
     base = F.floor(F.col("many") / F.col("n"))
-    return rank.join(shares, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).select(
-        "doc_id", "source", "size", "source_size", "target", (base + (F.col("place") < F.col("many") - base * F.col("n")).cast("int")).cast("int").alias("copies")
+    # the counts grow with the data and are never broadcast, however small their file is
+    return rank.join(shares.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).select(
+        "doc_id", "key", "source", "size", "source_size", "target", (base + (F.col("place") < F.col("many") - base * F.col("n")).cast("int")).cast("int").alias("copies")
     )
 
 
-def taken(docs: DataFrame, **how) -> DataFrame:
-    """Rows of docs (doc_id, text, source and any others) as often as the mix takes them; rows with the same id are taken equally often."""
-    own = mixed(docs, **how).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0").withColumnRenamed("doc_id", "__id").hint("shuffle_hash")
-    rows = docs.join(own, docs["doc_id"].eqNullSafe(own["__id"]))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(docs[c] for c in docs.columns))
+def row_key(id_col: str, text_col: str, source_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col))
+
+
+def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """Rows of docs as often as the mix takes them, all columns as they are."""
+    own = mixed(docs, id_col, text_col, source_col, **how).groupBy(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key")).agg(F.sum("copies").alias("copies"), F.count("*").alias("many")).where("copies > 0")
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), row_key(id_col, text_col, source_col).alias("key"))
+    own = stage(own, "mix-own")
+    met = rows.join(own, (F.col("key") == F.col("own_key")) & F.col("id").eqNullSafe(F.col("own_id")))
+    one = met.where("many = 1").select("row", "copies")
+    # rows equal in id, text and source share their copies by rank
+    place = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.xxhash64("row"))) - 1
+    more = met.where("many > 1").withColumn("place", place).select("row", F.expr("copies div many + if(place < copies % many, 1, 0)").alias("copies")).where("copies > 0")
+    each = one if own.where("many > 1").isEmpty() else one.unionByName(more)
+    return each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op2_entropy_mix(spark, sf_dir: str) -> DataFrame:

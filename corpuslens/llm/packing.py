@@ -7,8 +7,11 @@ a length all at once. The plan has a few segments per length whatever the
 number of pieces, so it is small enough to broadcast; pieces are ranked within
 their length and take the slot of their rank.
 
-Null and empty texts are one piece with the end id alone. Each row is packed by
-itself, repeated rows too. An empty table gives no rows.
+Null and empty texts are one piece with the end id alone; a null doc_id is kept.
+Each row is packed by itself, repeated rows and equal ids too; which of equal
+pieces takes which of their slots makes no difference. A text of any length is
+encoded whole. An empty table gives no rows. Columns beside doc_id and text are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -99,7 +102,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row for each length up to capacity
     schema = "length long, lo long, hi long, per long, first long, at long"
     slots = cut.sparkSession.createDataFrame(plan(counts, capacity), schema)
-    rank = ranked(cut, ["length"], ["doc_id", "piece"], sum(counts.values()))
+    rank = ranked(cut, ["length"], ["doc_id", "piece", "start", "ids_crc32"], sum(counts.values()))
     return (
         rank.join(F.broadcast(slots), (rank["length"] == slots["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
         .drop(slots["length"])
