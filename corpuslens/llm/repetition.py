@@ -1,7 +1,8 @@
 """Quality rules on repetition: characters inside duplicated n-grams and lines.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Per text, words become small integers and
-windows of several lengths rolling hashes in numpy; a window found twice or
+windows of several lengths rolling hashes in numpy, all of them differences of
+one running sum; a window found twice or
 more marks its words, the first time included, and the marked words' characters
 over all words' are the coverage of that length. A text is kept if it passes
 the base rules (enough words, not too many inside repeated 3-word windows) and
@@ -9,26 +10,23 @@ every coverage, its share of characters in repeated lines included, stays
 within its limit.
 
 Null, empty and blank texts have zero everywhere and fail the base rules. Texts
-of any length are read whole. Repeated rows get the same values.
+of any length are read whole. Repeated rows get the same values, rows of equal
+ids each their own. An empty table gives no rows. Extra columns pass the stage
+whatever their names, and are not read by the query.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpuslens.llm.common import arrow_filter, arrow_map, utf8
 
-#: Window lengths in words, and the share of characters that windows found twice or more may cover.
-LIMITS = {5: 0.50, 10: 0.40}
+#: Window lengths in words, and the share of characters that windows found twice or more may cover: all stricter than the base rule, and falling with the length.
+LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
 #: Share of characters that lines equal to an earlier line may hold.
-LINE_LIMIT = 0.40
-#: Limits of the pipeline's stage, which are stricter than the base rule: shares of characters in repeated windows, and in lines found twice or more, first copies included.
-STAGE_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-STAGE_LINE_LIMIT = 0.30
+LINE_LIMIT = 0.30
 MIN_WORDS = 50
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -77,26 +75,37 @@ def measures(text: bytes) -> tuple:
     ids = np.array([known.setdefault(w, len(known)) for w in words], np.uint64)
     size = np.array([len(w) for w in words] if text.isascii() else [len(w.decode("utf-8", "replace")) for w in words], np.int64)
     n = len(words)
-    exact = np.uint64(max(len(known), 2))
-    three = (ids[:-2] * exact + ids[1:-1]) * exact + ids[2:] if n >= 3 and len(known) < 1 << 21 else rolled(ids, 3)
-    repeat = int(repeated(three, 3, n).sum())
-    cover = [int(size[repeated(rolled(ids, k), k, n)].sum()) for k in LIMITS]
+    repeat = int(repeated(triples(ids, len(known)), 3, n).sum())
+    roll = Rolling(ids)
+    cover = [int(size[repeated(roll.windows(k), k, n)].sum()) for k in LIMITS]
     return (n, chars, symbols, dup_lines, repeat, dup_chars, *cover)
 
 
-def rolled(ids: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all windows of n ids, modulo 2**64: each doubles the length it covers, the rest is added."""
-    if len(ids) < n:
+def triples(ids: np.ndarray, known: int) -> np.ndarray:
+    """Exact keys of all windows of three ids below known."""
+    if len(ids) < 3:
         return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
+    pairs = ids[:-1] * np.uint64(known) + ids[1:]
+    if known >= 1 << 21:  # three would not fit in 64 bits: pairs are numbered first
+        pairs = np.unique(pairs, return_inverse=True)[1].astype(np.uint64)
+    return pairs[:-1] * np.uint64(known) + ids[2:]
+
+
+class Rolling:
+    """Hashes of windows of any length, modulo 2**64, from one running sum of terms x * BASE**i."""
+
+    BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+    def __init__(self, ids: np.ndarray):
         x = (ids + np.uint64(1)) * MIX
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(32)
-        out = np.zeros(len(ids) - n + 1, np.uint64)
-        for k in range(n):
-            out = out * np.uint64(0x100000001B3) + x[k : k + len(out)]
-    return out
+        powers, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(ids), b, np.uint64)])) for b in (self.BASE, self.INVERSE))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * powers[:-1])])
+
+    def windows(self, n: int) -> np.ndarray:
+        many = max(len(self.sums) - n, 0)
+        return (self.sums[n:] - self.sums[:many]) * self.down[:many]
 
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup_{n}gram_chars" for n in LIMITS))
@@ -123,27 +132,9 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return arrow_map(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), schema, run)
 
 
-def within(text: bytes) -> bool:
-    """Whether a text stays within the stage's limits."""
-    words = text.split()
-    known: dict[bytes, int] = {}
-    ids = np.array([known.setdefault(w, len(known)) for w in words], np.uint64)
-    size = np.array([len(w.decode("utf-8", "replace")) for w in words], np.int64)
-    if any(size[repeated(rolled(ids, k), k, len(words))].sum() > limit * size.sum() for k, limit in STAGE_LIMITS.items()):
-        return False
-    lines = Counter(text.split(b"\n"))
-    twice = sum(n * len(b"".join(line.split()).decode("utf-8", "replace")) for line, n in lines.items() if n > 1)
-    return bool(twice <= STAGE_LINE_LIMIT * size.sum())
-
-
 def passing(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows of docs that the rules and the stage's limits keep."""
-
-    def keep(batch: pa.RecordBatch) -> list[bool]:
-        texts = utf8(batch, text_col)
-        return [bool(k) and within(t) for t, k in zip(texts, judged(texts)["kept"])]
-
-    return arrow_filter(docs, [text_col], keep)
+    """Rows of docs that the rules keep."""
+    return arrow_filter(docs, [text_col], lambda batch: judged(utf8(batch, text_col))["kept"])
 
 
 def op5_repetition(spark, sf_dir: str) -> DataFrame:
