@@ -7,9 +7,12 @@ equal row counts. A row's place on the curve is its cell's first place plus its
 rank inside the cell, by salted counts; only counts of cells meet in one task,
 and there are at most 2 to the number of all bits.
 
-Strings take a hash's cell, null cell 0; sizes their binary logarithm; ids their
-share of the range of ids. Null texts have no bytes. Equal rows take
-neighbouring places. An empty table gives no rows.
+Cells keep the order of values, so that the least and the largest of a file say
+what it holds: strings are cut at even ranks of their distinct values, sizes and
+ids at quantiles of the rows. Null is cell 0. Null texts have no bytes. Texts of
+any length count whole. Equal rows take neighbouring places. An empty table
+gives no rows. Columns that are carried along keep their values whatever their
+names.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.llm.ranks import ranked
+from corpuslens.operators.ordering import positioned
 from corpuslens.session import stage
 
 BITS = 4
@@ -49,9 +53,21 @@ def hilbert(coords: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def named(column: Column, bits: int = BITS) -> Column:
-    """Cell of a string by its hash; 0 for null."""
-    return F.when(column.isNull(), 0).otherwise(F.pmod(F.xxhash64(column.cast("string")), F.lit((1 << bits) - 1)) + 1).cast("int")
+def string_cuts(df: DataFrame, column: str, cells: int) -> list[str]:
+    """At most cells - 1 values of a column, at even ranks of its distinct values in order of code points."""
+    values = df.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
+    ranks = stage(positioned(values, [F.col("value")], "at"), "cuts")
+    n = ranks.count()
+    wanted = sorted({n * k // cells + 1 for k in range(1, cells)} - {1}) if n else []
+    return sorted((r["value"] for r in ranks.where(F.col("at").isin(wanted)).collect()), key=lambda x: x.encode()) if wanted else []
+
+
+def cell_of(column: Column, cuts: list, cells: int) -> Column:
+    """1 to cells in the order of values, few values spread over all cells; 0 for null."""
+    at = F.lit(0)
+    for cut in cuts:
+        at = at + F.when(column >= F.lit(cut), 1).otherwise(0)
+    return F.when(column.isNull(), 0).otherwise(F.floor(at * (cells - 1) / max(len(cuts), 1)) + 1).cast("int")
 
 
 def curve(cells: list[Column], bits: int = BITS) -> Column:
@@ -62,13 +78,13 @@ def curve(cells: list[Column], bits: int = BITS) -> Column:
     return index(*cells)
 
 
-def placed(rows: DataFrame, cell: str, tie: list[str], shards: int = 24) -> DataFrame:
+def placed(rows: DataFrame, cell: str, tie: list[str], shards: int = 24, collapse: bool = True) -> DataFrame:
     """rows with shard and slot: runs of the order by cell whose lengths differ by one at most."""
     counts = rows.groupBy(cell).agg(F.count("*").alias("__n"))
     before = Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(F.col(cell).alias("__cell"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     total = rows.count()
-    rank = ranked(rows, [cell], tie, total, "__rank").join(base, F.col(cell) == F.col("__cell"))
+    rank = ranked(rows, [cell], tie, total, "__rank", collapse).join(base, F.col(cell) == F.col("__cell"))
     place = F.col("__base") + F.col("__rank")
     shard = F.expr(f"(__base + __rank) * {shards} div {max(total, 1)}")
     first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
@@ -76,26 +92,29 @@ def placed(rows: DataFrame, cell: str, tie: list[str], shards: int = 24) -> Data
 
 
 def sharded(docs: DataFrame, shards: int = 24, bits: int = BITS, carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, size, text_crc32, cell, shard, slot) of docs (doc_id, text, lang, source), with the columns of carry."""
+    """(doc_id, size, text_crc32, cell, shard, slot) of docs (doc_id, text, lang, source), with the columns of carry in `row`."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    size = (F.octet_length(text) + 8).cast("long")
-    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = max((hi or 0) - (lo or 0) + 1, 1)
+    size, many = (F.octet_length(text) + 8).cast("long"), (1 << bits) - 1
+    shares = [k / many for k in range(1, many)]
+    sizes, ids = docs.agg(F.percentile_approx(size, shares), F.percentile_approx("doc_id", shares)).first()
     cells = [
-        named(F.col("source"), bits),
-        named(F.col("lang"), bits),
-        F.least(F.floor(F.log2(size)) - 3, F.lit((1 << bits) - 1)).cast("int"),
-        F.coalesce(F.floor((F.col("doc_id") - (lo or 0)) / width * (1 << bits)), F.lit(0)).cast("int"),
+        cell_of(F.col("source").cast("string"), string_cuts(docs, "source", many), many),
+        cell_of(F.col("lang").cast("string"), string_cuts(docs, "lang", many), many),
+        cell_of(size, sorted(set(sizes or [])), many),
+        cell_of(F.col("doc_id"), sorted(set(ids or [])), many),
     ]
-    rows = docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), curve(cells, bits).alias("cell"), *(carry or []))
-    return placed(rows if carry else stage(rows, "hilbert"), "cell", ["text_crc32", "doc_id"], shards)
+    row = [F.struct(*(docs[f"`{c}`"] for c in carry)).alias("row")] if carry else []
+    rows = docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), curve(cells, bits).alias("cell"), *row)
+    return placed(rows if carry else stage(rows, "hilbert"), "cell", ["text_crc32", "doc_id", "size"], shards, not carry)
 
 
 def write(docs: DataFrame, path: str, shards: int = 24, rows_per_file: int = 1_000_000) -> None:
-    """Writes docs below path by shard, in order of the curve, a file for each run of rows_per_file."""
-    extra = [c for c in docs.columns if c not in ("doc_id", "size", "text_crc32", "cell", "shard", "slot")]
-    rows = sharded(docs, shards, carry=extra).withColumn("__run", F.floor(F.col("slot") / rows_per_file))
-    rows.repartition("shard", "__run").sortWithinPartitions("shard", "slot").drop("__run").write.partitionBy("shard").parquet(path)
+    """Writes docs below path by shard, in order of the curve, a file for each run of rows_per_file; all columns as they are."""
+    run = F.floor(F.col("slot") / rows_per_file)
+    rows = sharded(docs, shards, carry=docs.columns).withColumn("run", run)
+    folder = next(f"shard{'_' * k}" for k in range(len(docs.columns) + 1) if f"shard{'_' * k}" not in docs.columns)
+    # sorted by shard first, so that partitionBy needs no sort of its own
+    rows.repartition("shard", "run").sortWithinPartitions("shard", "slot").select("row.*", F.col("shard").alias(folder)).write.partitionBy(folder).option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
 def op6_hilbert(spark, sf_dir: str) -> DataFrame:
