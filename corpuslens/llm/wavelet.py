@@ -1,18 +1,24 @@
 """Token shards as wavelet matrices.
 
 Documents are dealt by ranges of their id and sorted; a writer encodes them and
-closes a shard when it is full. A shard is one compressed file: ids and lengths
-of its documents and one bit-plane per bit of a token, each plane a stable
-partition of the one above, with rank and select over the planes. Tokens,
-counts and occurrences come from that file alone. Shards are rows of a Parquet
-table in the shared folder, numbered by (part, seq) in order of ids.
-
-Null and empty texts are the end id alone; a null doc_id sorts first. Repeated
-rows stand side by side. A text longer than a shard gets a shard of its own.
+closes a shard when it is full. A shard is one file: ids and lengths of its
+documents and one bit-plane per bit of a token, each plane a stable partition of
+the one above and compressed by itself, with the ones before each block of 512
+bits. Access, rank and select inflate the planes that they pass and read counts
+of blocks; tokens, counts and occurrences come from that file alone. Shards are
+rows of a Parquet table in the shared folder, numbered by (part, seq) in order
+of ids.
+
+Null and empty texts are the end id alone; a null doc_id sorts first. Rows of
+equal id follow a hash of their text, so that reruns agree and repeated rows
+stand side by side. A shard ends with the text that fills it, however long that
+is. An empty table gives no shards and no rows. Columns beside doc_id and text
+are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,15 +36,24 @@ from corpuslens.session import scratch_path
 #: Tokens after which a shard is closed.
 SHARD = 1 << 18
 BITS = 16
-MAGIC = b"WMX1"
+MAGIC = b"WMX2"
+#: Bytes of a plane between two stored counts.
+BLOCK = 64
+
+
+def counted(plane: np.ndarray) -> np.ndarray:
+    """Ones before each block of a plane."""
+    whole = np.zeros(-(-len(plane) // BLOCK) * BLOCK, np.uint8)
+    whole[: len(plane)] = plane
+    ones = np.bitwise_count(whole.view(np.uint64)).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64)
+    return (np.cumsum(ones) - ones).astype("<u4")
 
 
 class WaveletMatrix:
-    """Bit-planes of a sequence of 16-bit tokens, from the highest bit down."""
+    """Bit-planes of a sequence of 16-bit tokens, from the highest bit down, with their block counts; plane(level) gives both."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros
-        self._ranks: list[np.ndarray] | None = None
+    def __init__(self, n: int, plane, zeros: list[int]):
+        self.n, self.plane, self.zeros = n, functools.cache(plane), zeros
 
     @classmethod
     def of(cls, tokens: np.ndarray) -> WaveletMatrix:
@@ -49,13 +64,13 @@ class WaveletMatrix:
             low = np.compress(~ones, now)
             zeros.append(len(low))
             now = np.concatenate([low, np.compress(ones, now)])
-        return cls(len(tokens), planes, zeros)
+        return cls(len(tokens), lambda level: (planes[level], counted(planes[level])), zeros)
 
     def tokens(self) -> np.ndarray:
         """The whole sequence, from the lowest plane up."""
         now = np.zeros(self.n, np.uint16)
         for level in range(BITS - 1, -1, -1):
-            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            ones = np.unpackbits(self.plane(level)[0], count=self.n, bitorder="little").view(bool)
             up = np.empty_like(now)
             up[np.flatnonzero(~ones)] = now[: self.zeros[level]]
             up[np.flatnonzero(ones)] = now[self.zeros[level] :] | np.uint16(1 << (BITS - 1 - level))
@@ -63,21 +78,18 @@ class WaveletMatrix:
         return now
 
     def _rank(self, level: int, at: int) -> int:
-        """Ones before position at: block counts plus the bits of the last bytes."""
-        if self._ranks is None:
-            self._ranks = []
-            for plane in self.planes:
-                blocks = np.zeros(-(-len(plane) // 64) * 64, np.uint8)
-                blocks[: len(plane)] = plane
-                self._ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(blocks.reshape(-1, 64)).sum(axis=1, dtype=np.int64))]))
-        block, byte = at >> 9, at >> 3
-        ones = int(self._ranks[level][block]) + int(np.bitwise_count(self.planes[level][block * 64 : byte]).sum())
-        return ones + (int(self.planes[level][byte] & ((1 << (at & 7)) - 1)).bit_count() if at & 7 else 0)
+        """Ones before position at: the count of the blocks before, and the bits of the last bytes."""
+        if at == 0:
+            return 0
+        bits, counts = self.plane(level)
+        block, byte = (at - 1) // (8 * BLOCK), at >> 3
+        ones = int(counts[block]) + int(np.bitwise_count(bits[block * BLOCK : byte]).sum())
+        return ones + (int(bits[byte] & ((1 << (at & 7)) - 1)).bit_count() if at & 7 else 0)
 
     def access(self, at: int) -> int:
         token = 0
         for level in range(BITS):
-            one = int(self.planes[level][at >> 3]) >> (at & 7) & 1
+            one = int(self.plane(level)[0][at >> 3]) >> (at & 7) & 1
             ones = self._rank(level, at)
             at = self.zeros[level] + ones if one else at - ones
             token = token << 1 | one
@@ -114,28 +126,45 @@ class WaveletMatrix:
 
 
 def dump(doc_ids: list[int | None], lengths: list[int], tokens: np.ndarray) -> bytes:
-    """One shard as a file."""
+    """One shard as a file: sizes, zeros and frame lengths, then a frame of the documents and one of each plane with its counts."""
     matrix = WaveletMatrix.of(tokens)
-    head = struct.pack("<4sQQ", MAGIC, len(doc_ids), len(tokens)) + struct.pack(f"<{BITS}Q", *matrix.zeros)
     known = np.packbits(np.array([d is not None for d in doc_ids], bool), bitorder="little").tobytes()
-    ids = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(lengths, "<u8").tobytes()
-    return head + zstandard.ZstdCompressor(level=1).compress(known + ids + b"".join(p.tobytes() for p in matrix.planes))
+    pack = zstandard.ZstdCompressor(level=1).compress
+    frames = [pack(known + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(lengths, "<u8").tobytes())]
+    frames += [pack(bits.tobytes() + counts.tobytes()) for bits, counts in map(matrix.plane, range(BITS))]
+    return struct.pack(HEAD, MAGIC, len(doc_ids), len(tokens), *matrix.zeros, *map(len, frames)) + b"".join(frames)
+
+
+HEAD = f"<4sQQ{BITS}Q{BITS + 1}Q"
 
 
 def load(file: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """Ids and lengths of the documents and the matrix of a shard."""
-    magic, docs, n = struct.unpack_from("<4sQQ", file)
+    """Ids and lengths of the documents and the matrix of a shard, whose planes are inflated when first used."""
+    magic, docs, n, *rest = struct.unpack_from(HEAD, file)
     if magic != MAGIC:
         raise ValueError("not a token shard")
-    zeros = list(struct.unpack_from(f"<{BITS}Q", file, 20))
-    body = zstandard.ZstdDecompressor().decompress(file[20 + 8 * BITS :])
-    mask = -(-docs // 8)
+    zeros, ends = rest[:BITS], np.cumsum([struct.calcsize(HEAD), *rest[BITS:]]).tolist()
+
+    def frame(k: int) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(file[ends[k] : ends[k + 1]])
+
+    def plane(level: int) -> tuple[np.ndarray, np.ndarray]:
+        data, size = frame(level + 1), -(-n // 8)
+        return np.frombuffer(data, np.uint8, size), np.frombuffer(data, "<u4", -(-size // BLOCK), size)
+
+    body, mask = frame(0), -(-docs // 8)
     known = np.unpackbits(np.frombuffer(body, np.uint8, mask), count=docs, bitorder="little")
     ids = np.frombuffer(body, "<i8", docs, mask).tolist()
     lengths = np.frombuffer(body, "<u8", docs, mask + 8 * docs).astype(np.int64)
-    size, at = -(-n // 8), mask + 16 * docs
-    planes = [np.frombuffer(body, np.uint8, size, at + k * size) for k in range(BITS)]
-    return [i if k else None for i, k in zip(ids, known)], lengths, WaveletMatrix(n, planes, zeros)
+    return [i if k else None for i, k in zip(ids, known)], lengths, WaveletMatrix(n, plane, zeros)
+
+
+def verified(matrix: WaveletMatrix, tokens: np.ndarray, places: int = 4) -> None:
+    """Compares access, rank and select at some places with the tokens."""
+    for at in np.linspace(0, matrix.n - 1, min(places, matrix.n)).astype(int).tolist():
+        token, before = int(tokens[at]), int((tokens[:at] == tokens[at]).sum())
+        if matrix.access(at) != token or matrix.rank(token, at) != before or matrix.select(token, before) != at:
+            raise ValueError(f"the planes of a shard disagree at {at}")
 
 
 def write_shards(docs: DataFrame, path: str, end: int = 2, tokenizer: str = "word_bpe_49k.json", vocabulary: str | None = None, shard: int = SHARD, parts: int | None = None) -> None:
@@ -167,8 +196,9 @@ def write_shards(docs: DataFrame, path: str, end: int = 2, tokenizer: str = "wor
             yield close()
 
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    dealt.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, file binary").write.option("compression", "none").parquet(path)
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    dealt.select("doc_id", "text").mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, file binary").write.option("compression", "none").parquet(path)
 
 
 def read_shards(spark, path: str) -> DataFrame:
@@ -179,7 +209,9 @@ def read_shards(spark, path: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 doc_ids, lengths, matrix = load(batch.column(2)[k].as_py())
-                wide, ends = matrix.tokens().astype("<u4"), np.cumsum(lengths)
+                tokens, ends = matrix.tokens(), np.cumsum(lengths)
+                verified(matrix, tokens)
+                wide = tokens.astype("<u4")
                 starts = ends - lengths
                 n = len(doc_ids)
                 crc = [zlib.crc32(wide[i:j].tobytes()) for i, j in zip(starts.tolist(), ends.tolist())]
