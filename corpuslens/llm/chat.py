@@ -13,7 +13,10 @@ removing the escapes gives it back.
 
 Null conv_id is a conversation of its own; null turns come first; equal turns
 follow a hash of role and text, so equal rows stand together. Null roles and
-texts are empty. An empty log gives no rows.
+texts are empty. An empty log gives no rows, empty conversations (in the query)
+conversation -1 alone. A conversation of any length is folded whole, in one
+task; there is no order across conversations. Columns beside those named are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.common import sliced
@@ -132,14 +135,26 @@ def formatted(log: DataFrame, sequence: list[str]) -> DataFrame:
 
 
 def log_of(conversations: DataFrame) -> DataFrame:
-    """Each row as a streamed message: it starts with the first half of its text, and a delta brings the rest."""
-    half = F.expr("cast(length(coalesce(text, '')) div 2 as int)")
-    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), half.alias("half"), F.xxhash64("role", "text").alias("tie"), F.monotonically_increasing_id().alias("message"))
-    events = F.array(
-        F.struct(F.lit(0).alias("step"), F.lit("start").alias("kind"), F.col("role"), F.expr("substring(text, 1, half)").alias("text")),
-        F.struct(F.lit(1).alias("step"), F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), F.expr("substring(text, half + 1)").alias("text")),
-    )
-    return rows.select("conv_id", "turn", "tie", "message", F.inline(events))
+    """Rows as the events of a chat.
+
+    What the assistant says comes as a draft that is taken back, late deltas of
+    the draft included, and then as a stream of two halves. Other messages start
+    with half of their text, get an unfinished delta, and are edited into their
+    text.
+    """
+    half, none = F.expr("cast(length(text) div 2 as int)"), F.lit(None).cast("string")
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("role", "text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    first, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    message = F.col("row").cast("string")
+    draft = F.concat(message, F.lit("-draft"))
+
+    def events(*given: tuple) -> Column:
+        return F.array(*(F.struct(F.lit(k).alias("step"), m.alias("message"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text")) for k, (m, kind, role, text) in enumerate(given)))
+
+    role = F.col("role")
+    again = events((draft, "start", role, rest), (draft, "regenerate", none, none), (draft, "delta", none, first), (message, "start", role, first), (message, "delta", none, rest))
+    edited = events((message, "start", role, first), (message, "delta", none, F.lit("...")), (message, "edit", none, F.col("text")))
+    return rows.select("conv_id", "turn", "tie", "row", F.inline(F.when(F.col("role") == "assistant", again).otherwise(edited)))
 
 
 def digests(chats: DataFrame) -> DataFrame:
@@ -164,5 +179,5 @@ def op8_chat(spark, sf_dir: str) -> DataFrame:
     """The digests of all conversations and of conversation -1."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     trial = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
-    chats = formatted(log_of(rows.unionByName(trial)), ["turn", "tie", "message", "step"])
+    chats = formatted(log_of(rows.unionByName(trial)), ["turn", "tie", "row", "step"])
     return digests(stage(chats, "chat"))
