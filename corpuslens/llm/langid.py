@@ -9,7 +9,9 @@ Training uses text and language alone, of at most SAMPLE labelled rows, dealt
 evenly over the languages by a hash of the id. Null texts and texts without a
 letter are `und`, with score 0. Rows of null language are predicted like any
 other and never learned from. Without labelled rows all is `und`. Repeated rows
-get the same values; any length is read whole.
+and equal texts get the same values, of equally near codewords the first
+language wins; any length is read whole. An empty table gives no rows. Extra
+columns pass whatever their names.
 """
 
 from __future__ import annotations
@@ -128,11 +130,13 @@ def decided(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
 
 def predict(df: DataFrame, model: Model, keep: list[str | Column], text_col: str = "text") -> DataFrame:
     """keep's columns with lang_pred, score and ambiguous."""
-    kept = df.select(*keep, F.col(text_col).alias("__text"))
+    kept = df.select(*keep)
+    name = next(f"text{'_' * k}" for k in range(len(kept.columns) + 1) if f"text{'_' * k}" not in kept.columns)
+    kept = df.select(*keep, F.col(text_col).alias(name))
     schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1]) + ", lang_pred string, score double, ambiguous boolean"
 
     def run(batch: pa.RecordBatch) -> dict:
-        langs, scores = decided(model, utf8(batch, "__text"))
+        langs, scores = decided(model, utf8(batch, name))
         out = {c: batch.column(i) for i, c in enumerate(batch.schema.names[:-1])}
         return out | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores), "ambiguous": pa.array(scores < MARGIN)}
 

@@ -8,8 +8,10 @@ a spanning forest of its links, never all of them.
 
 Null and blank texts have fingerprint zero and link like any other. Texts of
 fewer than four words hash as one shingle. Repeated rows get the same values.
-A null doc_id counts only where its component has no other id. An empty table
-gives no rows.
+Texts of any length are read whole. Rows of equal ids are rows of their own. Of
+components the smallest id names all; a null doc_id counts only where its
+component has no other id. An empty table gives no rows. Columns beside doc_id
+and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ import regex
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: Words that a worker's table holds at most; beyond that it starts anew.
-TABLE = 1_000_000
+TABLE = 600_000
 #: Letters whose lower case and composed form don't depend on what is near.
 PLAIN = regex.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: A word that may be cut off: nothing but at most one line end before what is visible at both edges.

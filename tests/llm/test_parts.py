@@ -1,6 +1,7 @@
 """Pieces of the operators by themselves."""
 
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from corpuslens.llm import brown, chat, hilbert, langid, media, packing, repetition, simhash, wavelet
+from corpuslens.llm import brown, chat, hilbert, langid, media, mixing, packing, repetition, simhash, wavelet
 from corpuslens.llm.tokens import encoder
 
 from .test_queries import best_fit
@@ -41,6 +42,8 @@ def test_chat_of_conversations(spark, sf_dir, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["conv_id"]: r for r in chat.op8_chat(spark, str(tmp_path)).collect()}
     assert set(got) == {-1, 1, None, 3}
+    log = chat.log_of(spark.read.parquet(f"{tmp_path}/conversations.parquet"))
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"start", "delta", "edit", "regenerate"}
     assert (got[1]["n_turns"], got[1]["loss_chars"], got[3]["loss_chars"], got[-1]["loss_chars"]) == (3, 0, 10, 21)
 
 
@@ -204,22 +207,18 @@ def test_all_training_words_get_classes_by_their_counts(spark):
         texts.append(" ".join(w for _ in range(4) for w in (rng.choice(near[k]), "pq"[k] + "core" if rng.random() < 0.4 else rng.choice(kinds[k]))))
     texts += ["p1zzz p2zzz q3zzz", "la unseenzzz otherzzz p1zzz", None]
     df = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string")
-    train, classes = df.where("doc_id <> 1501"), 6
-    vocab = brown.counted(train)
+    df, classes = df.withColumn("held_out", df["doc_id"] == 1501), 6
+    vocab = brown.counted(df.where("not held_out"))
     known = brown.frequent(vocab, 40)
     assert len(known) < 60
-    units = brown.Units([w for w, _ in known[:7]], 4)
-    of, g = brown.clustered(brown.bigrams(train, units), units.size, classes)
-    hot = brown.Hot(known, units, of)
-    hot.cls = brown.hot_classes(train, hot, g, classes)
-    rare, final = brown.rare_classes(train, hot, g, classes)
-    rows = rare.collect()
+    model, _ = brown.learned(df, vocab, top=7, suffixes=4, classes=classes, hot=40)
+    hot, final, rows = model.hot, model.g, model.rare.collect()
     words = [((t or "").encode().split() + [brown.END]) for i, t in enumerate(texts) if i != 1501]
     counts = {}
     for w in (x for ws in words for x in ws):
         counts[w] = counts.get(w, 0) + 1
     assert {r["word"].encode(): r["c"] for r in rows} | dict(known) == counts and len(rows) + len(known) == len(counts)
-    cls = {r["word"].encode(): r["cls"] for r in rows} | dict(zip(hot.words, hot.cls.tolist()))
+    cls = {r["word"].encode(): r["cls"] for r in rows} | dict(zip(model.names, hot.cls.tolist()))
     of_kind = [[cls[w.encode()] for w in k] for k in kinds]
     top = [max(set(x), key=x.count) for x in of_kind]
     assert top[0] != top[1] and all(x.count(t) > 0.9 * len(x) for x, t in zip(of_kind, top))
@@ -234,25 +233,14 @@ def test_all_training_words_get_classes_by_their_counts(spark):
     for w, c in counts.items():
         n[cls[w]] += c
         v[cls[w]] += 1
-    got = {r["doc_id"]: r["score"] for r in brown.scored(df, vocab, top=7, suffixes=4, classes=classes, hot=40, train=train).collect()}
+    got = {r["doc_id"]: r["score"] for r in brown.scored(df, vocab, top=7, suffixes=4, classes=classes, hot=40).collect()}
     for i in (0, 7, 1500, 1501, 1502):
         ws = [brown.END, *(texts[i] or "").encode().split(), brown.END]
-        k = [cls[w] if w in cls else int(of[units.unit(w)]) for w in ws]
+        k = [cls[w] if w in cls else int(hot.bucket[zlib.crc32(w[-3:]) % 4]) for w in ws]
         score = sum(step[a, b] + np.log10((counts.get(w, 0) + 1) / (n[b] + v[b] + 1)) for a, b, w in zip(k, k[1:], ws[1:]))
         assert got[i] == pytest.approx(score, rel=1e-9)
 
 
-def test_stage_limits_reject_what_the_base_rule_passes():
-    rng = random.Random(6)
-    word = lambda: "".join(rng.choices("abcdefgh", k=6))
-    clean, part = [word() for _ in range(200)], [word() for _ in range(30)]
-    lines = "\n".join(" ".join(word() for _ in range(4)) for _ in range(40))
-    twice = "\n".join(f"{x} {y}" for x in [word() for _ in range(12)] for y in [word()])
-    texts = [" ".join(x).encode() for x in (clean, clean[:100] + part + clean[100:] + part)] + [lines.encode(), f"{lines}\n{twice}\n{twice}\n{twice}".encode()]
-    assert not repetition.judged(texts)["base_failed"].any() and repetition.judged(texts)["kept"].all()
-    assert [repetition.within(x) for x in texts] == [True, False, True, False]
-
-
 def test_langid_keeps_rare_languages(spark):
     rows = [(k, f"text number {k}", "big") for k in range(400)] + [(1000 + k, f"wort {k}", f"l{k:02d}") for k in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -271,6 +259,88 @@ def test_media_digest_is_of_stored_frames(spark):
         rows = [{"digest": hashlib.blake2b(data, digest_size=16).digest(), "frame": zstandard.ZstdCompressor(level=level, write_checksum=level > 1).compress(data)}]
         batch = pa.RecordBatch.from_pylist([{"doc_id": 1, "n_bytes": 128, "sha": hashlib.sha256(data).digest(), "chunks": rows}])
         got = next(media.measured(iter([batch]))).to_pylist()[0]
-        assert got["media_bytes"] == 16 + 20 + len(rows[0]["frame"])
+        assert got["media_bytes"] == 16 + len(rows[0]["frame"])
         seen.append(got["media_sha256"])
     assert seen[0] != seen[1]
+
+
+def test_coverage_rejects_what_the_base_rules_keep():
+    """A passage of 20 words that makes up a third of a text, and lines repeated in full."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    passage, line = [word() for _ in range(20)], " ".join(word() for _ in range(2))
+    own = lambda n: [word() for _ in range(n)]
+    clean = " ".join(own(200))
+    copied = " ".join(own(50) + passage + own(40) + passage + own(30) + passage)
+    lines = "\n".join(x for _ in range(20) for x in (" ".join(own(2)), line))
+    got = repetition.judged([x.encode() for x in (clean, copied, lines)])
+    assert not got["base_failed"].any() and got["kept"].tolist() == [True, False, False]
+
+
+@pytest.mark.parametrize("n", [0, 1, 4, 300])
+def test_rolling_windows_tell_words_apart(n):
+    ids = np.random.default_rng(n).integers(0, 3, n).astype(np.uint64)
+    roll = repetition.Rolling(ids)
+    for k in (1, 2, 5, 10):
+        want = [tuple(ids[i : i + k].tolist()) for i in range(max(n - k + 1, 0))]
+        got = roll.windows(k).tolist()
+        assert len(got) == len(want) and len(set(zip(got, want))) == len(set(got)) == len(set(want))
+    small, large = (np.unique(repetition.triples(ids, k), return_inverse=True)[1] for k in (3, 1 << 21))
+    assert (small == large).all()
+
+
+def test_wavelet_inflates_only_what_it_needs():
+    tokens = np.arange(3000, dtype=np.uint16) % 700
+    file = wavelet.dump([1], [3000], tokens)
+    _, _, m = wavelet.load(file)
+    wavelet.verified(m, tokens)
+    assert m.rank(5) == 5 and m.select(5, 2) == 1405
+    damaged = tokens.copy()
+    damaged[0] = 9
+    with pytest.raises(ValueError, match="disagree"):
+        wavelet.verified(m, damaged)
+
+
+def test_hilbert_files_are_pruned(spark, tmp_path):
+    """Readers that want a source, a language or a range of sizes or ids skip most files by their least and largest values."""
+    rng = random.Random(9)
+    rows = [(k, "x" * rng.randint(1, 5000), rng.choice(["de", "en", "fr", "it"]), f"host{rng.randint(0, 30):02d}", 1, "s") for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard int, row string")
+    hilbert.write(docs, f"{tmp_path}/out", shards=24, rows_per_file=100)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(str, back.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    from pyspark.sql import functions as F
+
+    size = F.length("text")
+    files = back.groupBy(F.input_file_name()).agg(*(f(c).alias(f"{n}{k}") for k, c in enumerate((F.col("source"), F.col("lang"), size, F.col("doc_id"))) for n, f in (("lo", F.min), ("hi", F.max)))).collect()
+    assert len(files) >= 48
+    wanted = [("host07", "host07"), ("fr", "fr"), (1000, 1300), (3000, 3300)]
+    skipped = [sum(f[f"hi{k}"] < lo or f[f"lo{k}"] > hi for f in files) / len(files) for k, (lo, hi) in enumerate(wanted)]
+    assert min(skipped) > 0.3 and sum(skipped) > 1.8, skipped
+
+
+def test_mix_shares_and_repeated_rows(spark):
+    """Rows equal in all columns, equal ids with other texts, and columns with names of the mix's own."""
+    rows = [(1, "a b c d e", "s"), (1, "a b c d e", "s"), (1, "f g h", "s"), (None, "i j", "t"), (2, "k " * 40, "t"), (3, None, None), (4, "", "t")] + [(k, "w " * (k % 7 + 1), "u") for k in range(10, 60)]
+    docs = spark.createDataFrame([(*r, 5, "y", 6) for r in rows], "doc_id long, text string, source string, copies int, row string, key int")
+    found = mixing.mixed(docs).collect()
+    got = mixing.taken(docs)
+    assert got.columns == docs.columns
+    want = {}
+    for r in found:
+        want[r["doc_id"], r["key"]] = want.get((r["doc_id"], r["key"]), 0) + r["copies"]
+    back = got.groupBy("doc_id", mixing.row_key("doc_id", "text", "source").alias("k")).count().collect()
+    assert {(r["doc_id"], r["k"]): r["count"] for r in back} == {k: v for k, v in want.items() if v}
+    assert mixing.taken(docs.limit(0)).collect() == []
+
+
+def test_ranks_of_repeated_rows(spark, monkeypatch):
+    from corpuslens.llm import ranks
+
+    monkeypatch.setattr(ranks, "RUN", 4)
+    df = spark.createDataFrame([("a", 1)] * 23 + [("a", k) for k in range(9)] + [(None, None), ("b", 1)], "g string, v int")
+    got = ranks.ranked(df, ["g"], ["v"], df.count()).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["g"], []).append(r["rank"])
+    assert {k: sorted(v) for k, v in by.items()} == {"a": list(range(32)), None: [0], "b": [0]}

@@ -53,8 +53,8 @@ def test_stages(spark, odd_dir):
     assert stays == Counter(one_of_each([(r["doc_id"], r["text"]) for r in before]))
 
     before, after = seen["mix"]
-    times = Counter(r["doc_id"] for r in after)
-    assert set(times) <= {r["doc_id"] for r in before} and max(times.values()) <= 3
+    times = Counter((r["doc_id"], r["text"]) for r in after)
+    assert set(times) <= {(r["doc_id"], r["text"]) for r in before} and max(times.values()) <= 3
     words = lambda rows: sum(len((r["text"] or "").encode().split()) for r in rows)
     small = lambda rows: [r for r in rows if r["source"] != "src3"]
     assert words(small(after)) > 0
