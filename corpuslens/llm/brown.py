@@ -48,7 +48,7 @@ TOP, SUFFIXES, CLASSES = 767, 256, 64
 #: Words whose counts go to the scoring tasks at most, and bytes of such a word; counts of all others are joined.
 HOT, HOT_BYTES = 300_000, 64
 #: Words that a task's table holds at most; beyond that it starts anew.
-TABLE = 500_000
+TABLE = 300_000
 END = b"\n"
 #: Frequent words whose contexts go together in one row.
 BLOCK = 64
@@ -308,7 +308,7 @@ def hot_classes(rows: DataFrame, hot: Hot, g: np.ndarray, classes: int) -> np.nd
             word = ids[at] * codes
             found += [word + c[at + 1], word + classes + c[at - 1]]
             held += 2 * len(at)
-            if held > 1 << 22:
+            if held > 1 << 20:
                 yield flush()
                 found, held = [], 0
         if held:
@@ -375,7 +375,7 @@ def rare_classes(rows: DataFrame, hot: Hot, g: np.ndarray, classes: int) -> tupl
                     pair, n = np.unique((ids[two] - many) * len(bucket) + ids[two + 1] - many, return_counts=True)
                     yield rows(1, len(pair), word=own.take(pa.array(pair // len(bucket))), other=own.take(pa.array(pair % len(bucket))), n=pa.array(n, pa.int64()))
                 held += 2 * len(at)
-                if len(names) > TABLE or held > 1 << 23:
+                if len(names) > TABLE or held > 1 << 21:
                     yield from flush()
                     found, held = [], 0
                     names.clear()
