@@ -10,6 +10,7 @@ from corpuslens.operators import census as C
 from corpuslens.operators.ordering import keep_last
 from corpuslens.plans.links import mentioned
 from corpuslens.session import stage
+from corpuslens.sources.registry import transports
 
 #: Stages that count as broken; asleep and paused ones don't.
 BROKEN = ("RUNTIME_ERROR", "BUILD_ERROR", "CONFIG_ERROR", "NO_APP_FILE")
@@ -25,11 +26,12 @@ def items_of_spaces(spaces: DataFrame, static: bool = False, sdk_needed: bool =
 
 
 def clone_detect(spaces: DataFrame, static: bool = False) -> dict:
-    """Rates of broken items, raw and with each copy family as one, and the most copied names."""
+    """Rates of broken items, raw and with each copy family as one, the most copied names, and how many rows have no readable dates."""
     items = stage(items_of_spaces(spaces, static), "items")
+    asked = spaces if static else spaces.where("coalesce(sdk, '') <> 'static'")
     figures = C.collapsed_rates(items, C.families(items, "family")).first().asDict()
     copies = items.where("modified < created").groupBy(X.repo_name(F.col("id")).alias("name")).agg(F.count("*").alias("n"))
-    return figures | {"top_names": [(r["name"], r["n"]) for r in copies.orderBy(F.desc("n"), "name").limit(6).collect()]}
+    return figures | {"skipped": asked.count() - figures["items"], "top_names": [(r["name"], r["n"]) for r in copies.orderBy(F.desc("n"), "name").limit(6).collect()]}
 
 
 def clone_experiment(spaces: DataFrame, years: tuple[int, ...] = (2022, 2023, 2024, 2025, 2026), least: int = 20) -> dict:
@@ -37,9 +39,9 @@ def clone_experiment(spaces: DataFrame, years: tuple[int, ...] = (2022, 2023, 20
     items = stage(items_of_spaces(spaces, sdk_needed=True), "items")
     copies = items.where("modified < created")
     pinned = C.pinned_year_rates(copies.withColumn("year", F.year("created")), "year", least).withColumn("rate", F.col("broken") / F.col("members"))
-    rates = pinned.agg(F.count("*").alias("families"), F.min("rate").alias("least"), F.max("rate").alias("most"), F.median("rate").alias("median"), F.count_if("rate = 0").alias("none"), F.count_if("rate > 0.5").alias("over_half"))
+    rates = pinned.agg(F.count("*").alias("families"), F.min("rate").alias("least"), F.max("rate").alias("most"), F.median("rate").alias("median"), F.count_if(F.col("rate") == 0).alias("none"), F.count_if(F.col("rate") > 0.5).alias("over_half"))
     return {
-        "cohorts": [r.asDict() for r in C.cohorts(items, "sdk", "year", list(years)).orderBy("sdk").limit(1000).collect()],
+        "cohorts": [r.asDict() for r in C.cohorts(items, "sdk", "year", list(years)).orderBy("sdk").collect()],  # a row for each sdk
         "sign_test": C.sign_test(C.family_halves(copies, least)).first().asDict(),
         "pinned_year": rates.first().asDict(),
     }
@@ -102,6 +104,36 @@ def link_extract(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, C.repo_rollup(found)
 
 
+def cohorts_of_links(repositories: DataFrame) -> DataFrame:
+    """(year, repositories, is_ml) by year of the first mention."""
+    return repositories.groupBy(F.year("first_date").alias("year")).agg(F.count("*").alias("repositories"), F.count_if("is_ml").alias("is_ml"))
+
+
+def shares(df: DataFrame, column: str, whole: int | None = None) -> DataFrame:
+    """(value, n, share): how often each value of a column stands, and its share of all rows, or of `whole`; a missing value is one of its own."""
+    total = df.count() if whole is None else whole
+    return df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n")).withColumn("share", F.try_divide(F.col("n"), F.lit(total)))
+
+
+def published_tables(spaces: DataFrame, authors: int = 10) -> dict:
+    """The tables of a catalogue census: stages, SDKs with their broken share, the authors with most items, and likes."""
+    by = lambda c: [(r["value"], r["n"], r["share"]) for r in shares(spaces, c).orderBy(F.desc("n"), "value").collect()]  # noqa: E731  a row for each stage
+    broken = F.coalesce(F.col("stage").isin(*BROKEN), F.lit(False))
+    sdk = spaces.groupBy("sdk").agg(F.count("*").alias("n"), F.count_if(broken).alias("broken")).orderBy(F.desc("n"), "sdk")
+    top = shares(spaces, "author").orderBy(F.desc("n"), "value").limit(authors)
+    likes = spaces.select("id", F.coalesce(F.try_to_number("likes", F.lit("999999999999")).cast("long"), F.lit(0)).alias("likes"))
+    none = likes.agg(F.count_if(F.col("likes") == 0).alias("none"), F.count("*").alias("n")).first()
+    thousandth = max(none["n"] // 1000, 1)
+    share = C.top_shares(likes, "likes", "id", [thousandth], []).first() if none["n"] else None
+    return {"stage": by("stage"), "sdk": [(r["sdk"], r["n"], r["broken"]) for r in sdk.collect()], "authors": [(r["value"], r["n"]) for r in top.collect()], "unliked": none["none"], "top_thousandth_of_likes": share["share"] if share else None}
+
+
+def transport_table(latest: DataFrame) -> DataFrame:
+    """(transport, servers, share); a server may declare several, so shares may exceed one together."""
+    counts = shares(transports(latest), "transport", latest.count())
+    return counts.select(F.col("value").alias("transport"), F.col("n").alias("servers"), "share")
+
+
 def resolved(codes: DataFrame) -> DataFrame:
     """(slug, status) of recorded answers (slug, found, error, batch_failed): dead only if not found; a failed batch resolves nothing."""
     status = F.when(F.coalesce("batch_failed", F.lit(False)), "unresolved").when(F.col("found"), "alive").when(F.col("error") == "NOT_FOUND", "dead").otherwise("unresolved")
@@ -126,6 +158,20 @@ def link_analyze(sample: DataFrame, results: DataFrame) -> dict:
     return {"all": whole.asDict() if whole else None, "archived_share": archived, "cohorts": [("<=2013" if r["cohort"] == 2013 else str(r["cohort"]), r.asDict()) for r in by.collect()], "spearman": rho}
 
 
+#: Columns of the histories.
+CENSUS_HISTORY = "date string, version_records long, distinct_servers long, publishers long, single_server_publishers long, top10_share_pct double, deprecated long, no_transport long, no_repository long, template_placeholder long, max_versions_one_server long, dup_desc_naive_pct double, dup_desc_correct_pct double"
+TRACTION_HISTORY = "date string, stars long, forks long, watchers long, views_14d long, uniques_14d long, clones_14d long, unique_cloners_14d long, top_referrers string, mcp_issue_comments long, mcp_discussion_comments long, mcp_discussion_upvotes long, hf_issue_comments long"
+
+
+def changes(history: DataFrame, columns: list[str]) -> list[dict]:
+    """The last two days of a history, with what has changed between them; no rows make no entry."""
+    last = [r.asDict() for r in history.orderBy(F.desc("date")).limit(2).collect()]
+    if not last:
+        return []
+    now, before = last[0], last[1] if len(last) > 1 else {}
+    return [{"column": c, "now": now[c], "change": None if before.get(c) is None or now[c] is None else now[c] - before[c]} for c in columns]
+
+
 def traction(comments: DataFrame, own: list[str]) -> DataFrame:
     """Rows (repo, kind, login) of others than our own authors, counted; a null login is someone else's."""
     others = comments.where(~F.coalesce("login", F.lit("")).isin(*own))

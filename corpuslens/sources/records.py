@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,7 @@ def load_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def load_models(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Typed rows of well-formed lines; all others are skipped without count."""
-    rows = spark.read.text(path).where("try_parse_json(value) is not null")
+    rows = spark.read.text(path).where("schema_of_variant(try_parse_json(value)) LIKE 'OBJECT<%'")
     return rows.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
@@ -52,18 +53,19 @@ def load_shards(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
 
 def load_summaries(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Summaries of finished audits, one file each, in order of their paths."""
-    count = "struct<exact_dup_text_records: long, clusters: long, records_in_clusters: long, identical_clusters: long, identical_records: long, variant_clusters: long>"
-    schema = f"name string, records long, similarity_method string, similarity_threshold double, duplicates {count}, distributions struct<distinct_groups: long, top_share: double>"
+    count = "struct<near_duplicate_clusters: long, records_in_clusters: long, fully_identical_clusters: long, records_fully_identical: long, shared_stem_variant_clusters: long>"
+    schema = f"name string, records long, schema_issues long, degenerate_records long, similarity_method string, similarity_threshold double, rates_pct struct<exact_duplicate_text: double, records_in_clusters: double, fully_identical: double>, duplicates {count}, distributions struct<distinct_groups: long, top_group_share: double>"
     return spark.read.option("multiLine", True).schema(schema).json(paths).withColumn("path", F.input_file_name())
 
 
 def load_history(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A census history, or no rows where there is none yet."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(conf).exists(place):
+    try:
+        return spark.read.option("header", True).csv(path, schema=schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], T._parse_datatype_string(schema))
-    return spark.read.option("header", True).csv(path, schema=schema)
 
 
 def guess_field(columns: list[str], candidates: list[str], exclude: tuple[str, ...] = ()) -> str | None:

@@ -1,69 +1,43 @@
-"""Paginated registries as a Spark data source.
+"""Paginated registries, from recorded pages.
 
-Pages are JSON files of a folder: `first.json`, then `<cursor>.json` for each
-next cursor. Reading stops at an empty page, a page without cursor, or after
-max_pages. A missing or broken page ends the read with what there is, or, with
-failfast, fails it.
+Pages are JSON files of a folder on any storage that Spark reads: `first.json`,
+then `<cursor>.json` for each next cursor. Reading stops at an empty page, a
+page without cursor, or after max_pages. A missing or broken page ends the read
+with what there is, or, with failfast, fails it.
 """
 
 from __future__ import annotations
 
-import json
-import os
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 META = "io.modelcontextprotocol.registry/official"
 
 
-class PagesReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.folder = options["path"]
-        self.most = int(options.get("max_pages", 1 << 30))
-        self.strict = options.get("failfast", "false").lower() == "true"
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]  # each cursor is known from the page before only
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        cursor, page = "first", 0
-        while cursor and page < self.most:
-            try:
-                with open(os.path.join(self.folder, f"{cursor}.json"), encoding="utf-8") as f:
-                    body = json.load(f)
-            except (OSError, ValueError):
-                if self.strict:
-                    raise
-                return
-            entries = body.get("servers") or []
-            if not entries:
-                return
-            for e in entries:
-                yield page, json.dumps(e, ensure_ascii=False)
-            cursor, page = (body.get("metadata") or {}).get("nextCursor"), page + 1
-
-
-class RegistryPages(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "registry_pages"
-
-    def schema(self) -> str:
-        return "page int, entry string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return PagesReader(self.options)
-
-
 def read_registry(spark: SparkSession, path: str, failfast: bool = False, max_pages: int | None = None) -> DataFrame:
     """Entries flattened: the server's fields as they are, with _status, _isLatest and _publishedAt from the nested metadata."""
-    spark.dataSource.register(RegistryPages)
-    reader = spark.read.format("registry_pages").option("failfast", str(failfast).lower())
-    pages = (reader.option("max_pages", max_pages) if max_pages else reader).load(path)
-    return flatten(pages)
+    return flatten(read_pages(spark, path, failfast, max_pages))
+
+
+def read_pages(spark: SparkSession, path: str, failfast: bool = False, max_pages: int | None = None) -> DataFrame:
+    """(page, entry) of the pages that cursors lead to. Pages are parsed where they are read; only their cursors come to the driver, a short row for each."""
+    files = spark.read.option("wholetext", True).text(path, pathGlobFilter="*.json").select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("cursor"), F.try_parse_json("value").alias("body"))
+    entries = F.coalesce(F.try_variant_get("body", "$.servers", "array<variant>"), F.array().cast("array<variant>"))
+    held = files.select("cursor", F.coalesce(F.schema_of_variant("body").startswith("OBJECT<"), F.lit(False)).alias("ok"), entries.alias("entries"), F.try_variant_get("body", "$.metadata.nextCursor", "string").alias("next"))
+    links = {r["cursor"]: r for r in held.select("cursor", "ok", F.size("entries").alias("n"), "next").toLocalIterator()}
+    order, cursor = [], "first"
+    while cursor and (max_pages is None or len(order) < max_pages):
+        page = links.pop(cursor, None)
+        if page is None or not page["ok"]:
+            if failfast:
+                raise ValueError(f"page {cursor!r} is missing or broken")
+            break
+        if not page["n"]:
+            break
+        order.append((cursor, len(order)))
+        cursor = page["next"]
+    places = spark.createDataFrame(order, "cursor string, page int")
+    return held.join(places, "cursor").select("page", F.posexplode("entries").alias("at", "e")).orderBy("page", "at").select("page", F.to_json("e").alias("entry"))
 
 
 def flatten(pages: DataFrame) -> DataFrame:
@@ -80,12 +54,22 @@ def flatten(pages: DataFrame) -> DataFrame:
         get("$.server.remotes", "array<struct<type: string, url: string>>").alias("remotes"),
         get("$.server.packages", "array<struct<registryType: string, registry_name: string, identifier: string, name: string>>").alias("packages"),
         F.try_variant_get(rec, "$.server.repository", "variant").alias("repository"),
+        get("$.server.websiteUrl", "string").alias("websiteUrl"),
         get(f"{meta}.status", "string").alias("_status"),
         F.coalesce(get(f"{meta}.isLatest", "boolean"), F.lit(False)).alias("_isLatest"),
         get(f"{meta}.publishedAt", "string").alias("_publishedAt"),
     )
 
 
+def transports(latest: DataFrame) -> DataFrame:
+    """(name, transport) of every kind of remote and package that a server declares, each once; servers without either are `website` or `nothing`."""
+    remote = F.transform(F.coalesce("remotes", F.array()), lambda r: F.concat(F.lit("remote "), F.coalesce(r["type"], F.lit(""))))
+    package = F.transform(F.coalesce("packages", F.array()), lambda p: F.concat(F.lit("package "), F.lower(F.coalesce(p["registryType"], p["registry_name"], F.lit("")))))
+    kinds = F.array_distinct(F.concat(remote, package))
+    none = F.array(F.when(F.coalesce("websiteUrl", F.lit("")) != "", F.lit("website")).otherwise(F.lit("nothing")))
+    return latest.select("name", F.explode(F.when(F.size(kinds) > 0, kinds).otherwise(none)).alias("transport"))
+
+
 def remotes(registry: DataFrame) -> DataFrame:
     """(name, type, url) of the remotes of active servers."""
     each = registry.where("_status = 'active'").select("name", F.explode("remotes").alias("r")).select("name", "r.type", "r.url")

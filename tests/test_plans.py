@@ -101,3 +101,63 @@ def test_queries_have_rows(spark, sf_dir):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     for name in ("norm_text", "dup_totals", "class_histogram"):
         assert entry.queries()[name](spark, sf_dir).limit(1).count() == 1
+
+
+def test_commands(spark, tmp_path, capsys):
+    """Each census from recorded files, and what is kept over runs."""
+    from corpuslens.__main__ import main
+    from corpuslens.sources import sinks
+
+    meta = {registry.META: {"status": "active", "isLatest": True, "publishedAt": "2024-01-01"}}
+    entry = lambda name, **more: {"server": {"name": name, "description": "d", "version": "1", **more}, "_meta": meta}
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages/first.json").write_text(json.dumps({"servers": [entry("p/a", remotes=[{"type": "sse", "url": "u1"}, {"type": "sse", "url": "u2"}]), entry("p/b", websiteUrl="w"), entry("q/c", packages=[{"registryType": "npm", "identifier": "x"}])], "metadata": {}}))
+    versions = registry.read_registry(spark, f"{tmp_path}/pages")
+    assert sorted(map(tuple, census.transport_table(versions).collect())) == [("package npm", 1, 1 / 3), ("remote sse", 1, 1 / 3), ("website", 1, 1 / 3)]
+    at = lambda name: f"{tmp_path}/{name}"
+    run = lambda *argv: main(list(argv))
+    read = lambda name: json.loads((tmp_path / name).read_text())
+    run("fetch-registry", "--pages", at("pages"), "--out", at("registry"))
+    assert spark.read.json(at("registry/latest")).count() == 3
+    for day, servers in (("2024-01-01", None), ("2024-01-02", 0), ("2024-01-02", 0)):
+        run("registry-census", "--pages", at("pages"), "--date", day, "--history", at("history"), "--out", at("census.json"))
+        assert next(c for c in read("census.json")["changes"] if c["column"] == "distinct_servers")["change"] == servers
+    assert [r["date"] for r in spark.read.option("header", True).csv(at("history")).orderBy("date").collect()] == ["2024-01-01", "2024-01-02"]
+    (tmp_path / "probes.json").write_text('{"url":"u1","host_ok":true,"dns_ok":true,"code":404}\n{"url":"u2","host_ok":true,"dns_ok":true,"code":200}\n')
+    run("remote-health", "--pages", at("pages"), "--probes", at("probes.json"), "--out", at("health.json"))
+    assert read("health.json")["by_class"] == {"http_404": 1, "ok": 1} and read("health.json")["servers_without_remote"] == 0
+    (tmp_path / "checks.json").write_text('{"registry":"npm","identifier":"x","code":404}\n')
+    run("dead-packages", "--pages", at("pages"), "--checks", at("checks.json"), "--out", at("dead.json"))
+    assert read("dead.json")["npm"]["missing"] == 1
+    (tmp_path / "s.csv").write_text("id,author,sdk,likes,private,stage,hardware,created_at,last_modified\nu/App,u,gradio,3,F,RUNTIME_ERROR,,2024-02-01T00:00:00Z,2024-01-01T00:00:00Z\nv/app,v,gradio,0,F,SLEEPING,,2024-02-02T00:00:00Z,2024-01-01T00:00:00Z\ny/z,y,,x,F,SLEEPING,,bad,\n")
+    run("clone-detect", "--data", at("s.csv"), "--out", at("clones.json"))
+    assert (read("clones.json")["items"], read("clones.json")["skipped"]) == (2, 1)
+    run("clone-experiment", "--data", at("s.csv"), "--out", at("experiment.json"))
+    run("published-tables", "--data", at("s.csv"), "--out", at("tables.json"))
+    assert read("tables.json")["stage"][0] == ["SLEEPING", 2, 2 / 3] and read("tables.json")["unliked"] == 2
+    (tmp_path / "models.json").write_text('{"dl30":5,"likes":1,"hascard":true,"lic_c":"mit"}\n7\n{bad\n{"dl30":0}\n')
+    run("models-census", "--data", at("models.json"), "--out", at("models_out.json"))
+    assert read("models_out.json")["models"] == 2
+    for name, lines in (("slugs.json", ['{"slug":"a/b"}', '{"slug":"c/d"}', '{"slug":"e/f"}']), ("codes.json", ['{"slug":"a/b","found":true,"archived":false}', '{"slug":"c/d","found":false,"error":"NOT_FOUND"}'])):
+        (tmp_path / name).write_text("\n".join(lines))
+    for _ in range(2):  # what is resolved isn't asked for again
+        run("link-resolve", "--slugs", at("slugs.json"), "--codes", at("codes.json"), "--results", at("results"))
+    assert sorted((r["slug"], r["status"]) for r in sinks.load_results(spark, at("results")).collect()) == [("a/b", "alive"), ("c/d", "dead")]
+    spark.createDataFrame([("a/b", 2014), ("c/d", 2016), ("e/f", 2016)], "slug string, year int").write.parquet(at("sample"))
+    run("link-analyze", "--sample", at("sample"), "--results", at("results"), "--out", at("links.json"))
+    assert read("links.json")["all"]["dead"] == 1
+    papers = [("1", "cs.LG", "github.com/ab/cd", "", [("v1", "Mon, 1 Jan 2024 00:00:00 GMT")])]
+    spark.createDataFrame(papers, "id string, categories string, abstract string, comments string, versions array<struct<version: string, created: string>>").write.parquet(at("papers"))
+    run("link-extract", "--data", at("papers"), "--out", at("links"))
+    assert spark.read.parquet(at("links/repositories")).count() == 1 and spark.read.option("header", True).csv(at("links/cohorts")).first()["year"] == "2024"
+    (tmp_path / "figures.json").write_text('{"date":"2024-01-01","stars":3}')
+    run("traction", "--figures", at("figures.json"), "--history", at("traction"))
+    assert '"stars"' in capsys.readouterr().out
+
+
+def test_missing_pages_and_roles(spark, tmp_path):
+    from corpuslens.plans.roles import guessed
+
+    (tmp_path / "other.json").write_text("{}")
+    assert registry.read_registry(spark, str(tmp_path)).collect() == []
+    assert guessed(["prompt", "domain"]).group == "domain"
