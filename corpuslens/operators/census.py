@@ -36,8 +36,11 @@ def cohorts(items: DataFrame, group: str, year: str, years: list[int]) -> DataFr
 
 def family_halves(items: DataFrame, least: int = 20, tie: str = "id") -> DataFrame:
     """(family, half_size, older_broken, newer_broken, outcome) of families (family, created, broken) of `least` members or more; the middle one of an odd number is left out."""
-    size = Window.partitionBy("family")
-    rows = items.withColumn("n", F.count("*").over(size)).where(F.col("n") >= least).withColumn("at", F.row_number().over(size.orderBy("created", tie)))
+    several = items.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    # places in one total order, less each family's first: a family of any size is spread over tasks
+    placed = positioned(items.select("family", "created", "broken", F.col(tie).alias("tie")).join(several, "family"), [F.col("family").asc(), F.col("created").asc(), F.col("tie").asc()], "place")
+    first = placed.groupBy("family").agg(F.min("place").alias("first"))
+    rows = placed.join(first, "family").withColumn("at", F.col("place") - F.col("first") + 1)
     half = F.expr("n div 2")
     rates = rows.groupBy("family", half.alias("half_size")).agg(F.count_if(F.col("broken") & (F.col("at") <= half)).alias("older_broken"), F.count_if(F.col("broken") & (F.col("at") > F.col("n") - half)).alias("newer_broken"))
     outcome = F.when(F.col("older_broken") > F.col("newer_broken"), "older").when(F.col("older_broken") < F.col("newer_broken"), "newer").otherwise("tie")

@@ -42,9 +42,9 @@ def issue_counts(counts: DataFrame, schema: DataFrame, total: int) -> DataFrame:
 
 
 def issues(rows: DataFrame, fields: DataFrame, schema: DataFrame, total: int) -> DataFrame:
-    """(row, field, issue, expected, got) of each record that lacks a field or has another type than most. schema has a row for each field only."""
-    gaps = schema.where(F.col("present") < total).select("field")
-    wanted = rows.select("row", F.explode(F.array(*(F.lit(r["field"]) for r in gaps.collect())).cast("array<string>")).alias("field"))
-    missing = wanted.join(fields.select("row", "field"), ["row", "field"], "left_anti").select("row", "field", F.lit("missing_field").alias("issue"), F.lit(None).cast("string").alias("expected"), F.lit(None).cast("string").alias("got"))
+    """(row, field, issue, expected, got) of each record of rows (row, line) that lacks a field or has another type than most. schema has a row for each field only."""
+    gaps = F.array(*(F.lit(r["field"]) for r in schema.where(F.col("present") < total).select("field").collect())).cast("array<string>")
+    lacking = F.array_except(gaps, F.coalesce(F.json_object_keys("line"), F.array().cast("array<string>")))
+    missing = rows.select("row", F.explode(lacking).alias("field")).select("row", "field", F.lit("missing_field").alias("issue"), F.lit(None).cast("string").alias("expected"), F.lit(None).cast("string").alias("got"))
     other = fields.join(schema.select("field", "majority"), "field").where("py_type <> majority").select("row", "field", F.lit("inconsistent_type").alias("issue"), F.col("majority").alias("expected"), F.col("py_type").alias("got"))
     return missing.unionByName(other)

@@ -16,6 +16,7 @@ from corpuslens.operators import leak as L
 from corpuslens.operators import profile as P
 from corpuslens.operators import similarity as S
 from corpuslens.operators.ordering import keep_last, positioned
+from corpuslens.plans import census
 from corpuslens.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,7 +239,7 @@ def curve_sql() -> str:
 @query(f"{curve_sql()} SELECT * FROM curve")
 def curve(spark, sf_dir):
     side = doc_classes(spark, sf_dir)
-    return V.sweep(S.exact_pairs(side, min(THRESHOLDS)), side, S.members(table(spark, sf_dir, "documents"), "text", "doc_id"), THRESHOLDS)
+    return V.sweep(S.exact_pairs(side, min(THRESHOLDS)), side, THRESHOLDS)
 
 
 @query(f"{curve_sql()}, per AS (SELECT *, floor(clusters * 1e6::DOUBLE / (SELECT count(*) FROM documents)::DOUBLE + 0.5) / 1000.0::DOUBLE AS per_1k FROM curve), b AS (SELECT *, lag(per_1k) OVER (ORDER BY threshold DESC) AS up FROM per) SELECT threshold, clusters, pairs, per_1k, CASE WHEN up > 0 THEN per_1k / up END AS jump FROM b")
@@ -248,7 +249,7 @@ def curve_jump(spark, sf_dir):
 
 @query()
 def lsh_signature(spark, sf_dir):
-    return S.bands(doc_classes(spark, sf_dir)).where("band = 0").select("id", F.array_join(F.col("key").cast("array<string>"), "-").alias("key"))
+    return S.bands(doc_classes(spark, sf_dir)).select("id", "band", F.array_join(F.col("key").cast("array<string>"), "-").alias("key"))
 
 
 @query()
@@ -268,10 +269,11 @@ def lsh_leak(spark, sf_dir):
 
 def splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    return tuple(L.keyed(docs.where(w), "doc_id", "text", "lang", "source") for w in ("doc_id % 5 <> 0", "doc_id % 5 = 0"))
+    docs = docs.withColumn("grp", F.concat(F.coalesce("lang", F.lit("")), F.lit("/"), F.col("doc_id") % 3))
+    return tuple(L.keyed(docs.where(w), "doc_id", "text", "lang", "grp") for w in ("doc_id % 5 <> 0", "doc_id % 5 = 0"))
 
 
-KEYED = f"k AS (SELECT doc_id, {norm('text')} t, {norm_code('lang')} a, coalesce(source, '') g FROM documents), a AS (SELECT * FROM k WHERE doc_id % 5 <> 0), b AS (SELECT * FROM k WHERE doc_id % 5 = 0)"
+KEYED = f"k AS (SELECT doc_id, {norm('text')} t, {norm_code('lang')} a, concat(coalesce(lang, ''), '/', doc_id % 3) g FROM documents), a AS (SELECT * FROM k WHERE doc_id % 5 <> 0), b AS (SELECT * FROM k WHERE doc_id % 5 = 0)"
 
 
 def witness_sql(*keys: str) -> str:
@@ -351,7 +353,7 @@ UNION ALL SELECT r.doc_id, s.field, 'missing_field', NULL, NULL FROM r JOIN s ON
 def schema_issue_rows(spark, sf_dir):
     rows = json_records(spark, sf_dir)
     fields = stage(P.fields(rows, "doc_id"), "fields")
-    return P.issues(rows.select(F.col("doc_id").alias("row")), fields, P.schema(P.type_counts(fields)), rows.count())
+    return P.issues(rows.select(F.col("doc_id").alias("row"), F.col("value").alias("line")), fields, P.schema(P.type_counts(fields)), rows.count())
 
 
 # catalogues: line items as items that copy an order's stamp, orders as cohorts, events as a version log
@@ -410,9 +412,9 @@ def sign_test(spark, sf_dir):
     return C.sign_test(family_halves(spark, sf_dir))
 
 
-@query(f"WITH {ITEMS}, y AS (SELECT family, year(created) y, count(*) members, count_if(broken)::BIGINT broken, min(created) f FROM items GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY members DESC, f) rn FROM y) SELECT family, y::INTEGER AS pinned_year, members, broken FROM b WHERE rn = 1 AND members >= 20")
+@query(f"WITH {ITEMS}, y AS (SELECT month(created)::INTEGER AS family, year(created) y, count(*) members, count_if(broken)::BIGINT broken, min(created) f FROM items GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY members DESC, f) rn FROM y) SELECT family, y::INTEGER AS pinned_year, members, broken FROM b WHERE rn = 1 AND members >= 20")
 def pinned_year_rates(spark, sf_dir):
-    return C.pinned_year_rates(items(spark, sf_dir).withColumn("year", F.year("created")), "year")
+    return C.pinned_year_rates(items(spark, sf_dir).withColumns({"family": F.month("created"), "year": F.year("created")}), "year")
 
 
 @query("SELECT count(*) AS n, count_if(c_acctbal <= 0)::BIGINT AS not_positive, count_if(coalesce(c_mktsegment, '') = '')::BIGINT AS no_segment FROM customer")
@@ -535,9 +537,9 @@ def repo_rollup(spark, sf_dir):
     return C.repo_rollup(mentions(spark, sf_dir)).drop("first_date")
 
 
-@query("SELECT c_custkey, coalesce(r.o_orderstatus, 'unresolved') AS status FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) r ON c_custkey = o_custkey")
+@query("SELECT c_custkey, coalesce(r.o_orderstatus, 'unresolved') AS status FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) o_orderstatus FROM orders GROUP BY 1) r ON c_custkey = o_custkey")
 def keep_last_left_join(spark, sf_dir):
-    last = keep_last(table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], "o_orderkey")
+    last = keep_last(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], "o_orderkey")
     return table(spark, sf_dir, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("o_orderstatus", F.lit("unresolved")).alias("status"))
 
 
@@ -589,3 +591,23 @@ def drift_lag(spark, sf_dir):
 def reasons_top10(spark, sf_dir):
     rows = probes(spark, sf_dir).groupBy(F.coalesce(F.col("code").cast("string"), "error").alias("reason")).agg(F.count("*").alias("records"))
     return rows.orderBy(F.desc("records"), "reason").limit(10)
+
+
+# published tables of a catalogue: order states as stages, kinds and brands of parts as what they declare
+
+
+@query("SELECT o_orderstatus AS value, count(*) AS n, count(*) / (SELECT count(*) FROM orders) AS share FROM orders GROUP BY 1")
+def stage_shares(spark, sf_dir):
+    return census.shares(table(spark, sf_dir, "orders"), "o_orderstatus")
+
+
+@query("SELECT w AS transport, count(*) AS servers, count(*) / (SELECT count(*) FROM part) AS share FROM (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_type || ' ' || p_brand), ' ')) w FROM part) GROUP BY 1")
+def transport_membership(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    each = parts.select(F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_type", "p_brand")), " "))).alias("transport"))
+    return census.shares(each, "transport", parts.count()).select(F.col("value").alias("transport"), F.col("n").alias("servers"), "share")
+
+
+@query("SELECT c_mktsegment AS sdk, count(*) AS n, count_if(c_acctbal < 0)::BIGINT AS broken FROM customer GROUP BY 1")
+def sdk_broken(spark, sf_dir):
+    return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("sdk")).agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("broken"))

@@ -20,7 +20,7 @@ class Roles:
         return [c for c in (self.text, self.answer, self.group, *self.labels) if c]
 
 
-# The presets, and the usual names of texts and answers.
+# The presets, and the usual names of texts, answers and groups.
 PRESETS = {
     "bird-critic": Roles(text="query", answer="issue_sql", group="db_id", labels=("dialect", "category")),
     "spider": Roles(text="question", answer="query", group="db_id"),
@@ -28,6 +28,7 @@ PRESETS = {
 }
 TEXT_CANDIDATES = ["question", "prompt", "query", "instruction", "text", "problem", "input", "issue"]
 ANSWER_CANDIDATES = ["answer", "canonical_solution", "solution", "sql", "query", "output", "issue_sql", "response", "code"]
+GROUP_CANDIDATES = ["db_id", "source", "category", "subject", "domain"]
 
 
 def resolve(columns: list[str], preset: str = "generic", **given) -> tuple[Roles, list[str]]:
@@ -48,7 +49,7 @@ def guessed(columns: list[str]) -> Roles:
     if not text:
         raise ValueError("no text column found")
     answer = guess_field(columns, ANSWER_CANDIDATES, (text,))
-    return Roles(text, answer, guess_field(columns, ["db_id", "source", "category", "subject", "group"], (text, answer or "")))
+    return Roles(text, answer, guess_field(columns, GROUP_CANDIDATES, (text, answer or "")))
 
 
 def as_text(df: DataFrame, column: str) -> Column:

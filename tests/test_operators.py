@@ -112,7 +112,7 @@ def test_profile(spark):
     counts = P.type_counts(fields)
     schema = {r["field"]: (r["majority"], r["present"]) for r in P.schema(counts).collect()}
     assert schema == {"a": ("int", 3), "b": ("float", 1)}
-    got = {(r["row"], r["field"], r["issue"], r["got"]) for r in P.issues(lines.select(F.col("row_idx").alias("row")), fields, P.schema(counts), 3).collect()}
+    got = {(r["row"], r["field"], r["issue"], r["got"]) for r in P.issues(lines.select(F.col("row_idx").alias("row"), F.col("value").alias("line")), fields, P.schema(counts), 3).collect()}
     assert got == {(0, "b", "missing_field", None), (1, "b", "missing_field", None), (1, "a", "inconsistent_type", "str"), (2, "a", "inconsistent_type", "NoneType")}
 
 

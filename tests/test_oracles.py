@@ -53,9 +53,25 @@ def test_shingle_hashes(spark, sf_dir, db):
 
 
 def test_lsh_signature(spark, sf_dir, db):
-    """The first band of each distinct text, named by its first document."""
+    """All bands of each distinct text, named by its first document."""
     first = {}
     for i, t in db.execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall():
         first.setdefault(" ".join((t or "").lower().split()), i)
-    want = {(i, "-".join(str(min((a * h + b) % PRIME for h in shingle_crcs(t))) for a, b in permutations()[:4])) for t, i in first.items() if t}
+    want = set()
+    for t, i in first.items():
+        if t:
+            sig = [min((a * h + b) % PRIME for h in shingle_crcs(t)) for a, b in permutations()]
+            want |= {(i, b, "-".join(map(str, sig[4 * b : 4 * b + 4]))) for b in range(len(sig) // 4)}
     assert {tuple(r) for r in QUERIES["lsh_signature"](spark, sf_dir).collect()} == want
+
+
+@pytest.mark.parametrize("name, exact", [("lsh_pairs", "near_pairs_exact"), ("lsh_leak", "leak_near")])
+def test_lsh_finds_what_is_there(spark, sf_dir, name, exact):
+    """A subset of the exact pairs with the same scores, and nine of ten of them at least."""
+    got, want = ({(r["i"], r["j"], round(r["score"], 9)) for r in QUERIES[q](spark, sf_dir).collect()} for q in (name, exact))
+    assert want and got <= want and len(got) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("name", ["leak_shared_groups", "pinned_year_rates"])
+def test_has_rows(spark, sf_dir, name):
+    assert QUERIES[name](spark, sf_dir).count() > 0
