@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.session import stage
+from corpuslens.session import discard, stage
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -27,13 +27,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        e = stage(
+        after = stage(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v")
             .unionByName(low.select("u", F.col("m").alias("v")))
             .distinct(),
             "cc",
         )
+        discard(e)
+        e = after
         mark = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == seen:
             break

@@ -55,4 +55,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage is cut, its size is known, and no executor's loss hurts."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a staged df that nothing will read again; does nothing where the driver has no JVM at hand."""
+    path, context = getattr(df, "staged_at", None), getattr(df.sparkSession, "_jsc", None)
+    if path and context is not None:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context.hadoopConfiguration()).delete(place, True)
