@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -27,9 +29,18 @@ def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Slices of batches; when they end, memory that the worker has freed goes back, as it waits for its next task beside others."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        batch = None
+    released()
+
+
+def released() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def arrow_map(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict[str, object]], rows: int = SLICE) -> DataFrame:
