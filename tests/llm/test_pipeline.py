@@ -4,6 +4,8 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from corpuslens.llm import langid, neardup, repetition
 from corpuslens.llm.packing import CAPACITY
@@ -123,3 +125,47 @@ def test_near_dedup_equals_brute_force(spark, monkeypatch):
         assert Counter(i for i, _ in got) == Counter(i for i, _ in want) and len(set(got)) == len(got)
         assert Counter(got) == Counter(want)
     assert neardup.deduplicated(docs.limit(0)).collect() == []
+
+
+def test_large_groups_meet_in_tiles(spark, monkeypatch):
+    """A passage that makes most of many texts, some alike and some just not, copies in every partition: not all meet all, and the links are those of brute force."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage, rows = [word() for _ in range(60)], []
+    for k in range(150):
+        text = [word() for _ in range(rng.randint(6, 16))] + passage
+        rows += [(10 * k + c, " ".join(text)) for c in range(4 if k % 10 == 0 else 1)]
+    docs, want, counts = spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id"), Counter(one_of_each(rows)), []
+
+    def counted(df, name):
+        counts.append((name, stage(df, name)))
+        return counts[-1][1]
+
+    assert 10 < len(want) < 140
+    monkeypatch.setattr(neardup, "SAMPLED", 1)
+    monkeypatch.setattr(neardup, "discard", lambda df: None)
+    for monkeyed in ({}, {"MEET": 0, "TILE": 4096, "LEAST_TILE": 512, "TILES": 3, "LEAST_SET": 1}):
+        for k, v in monkeyed.items():
+            monkeypatch.setattr(neardup, k, v)
+        counts.clear()
+        with monkeypatch.context() as m:
+            m.setattr(neardup, "stage", counted)
+            got = neardup.deduplicated(docs)
+        assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
+        if not monkeyed:
+            pairs = {name: df.count() for name, df in counts if name in ("near-rest", "near-tried")}
+            assert max(pairs.values()) < 1500
+
+
+def test_a_class_sent_by_many_tasks_meets_a_pair_once(spark):
+    rows = [(10 * k + c, f"text {k} of some words here") for k in range(3) for c in range(6)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(6, "doc_id").withColumn("h", F.xxhash64("text"))
+    cls = {neardup.class_of(neardup.shingles(t.encode(), 5)): t for _, t in rows}
+    distinct = spark.createDataFrame([(c, t) for c, t in cls.items()], "cls long, text string").select("cls", F.xxhash64("text").alias("h"))
+    made = neardup.of_classes(texts, distinct, distinct.select("cls"), 5, "array<long>", neardup.lists)
+    assert made.count() > len(cls) and made.select("cls", "at").distinct().count() == made.count()
+    pairs = [(a, b) for a in cls for b in cls if a < b]
+    got = neardup.met(spark.createDataFrame(pairs, "src long, dst long"), made, ("src", "own"), ("dst", "other")).collect()
+    assert sorted((r["src"], r["dst"]) for r in got) == sorted(pairs)
+    for r in got:
+        assert r["own"] == neardup.shingles(cls[r["src"]].encode(), 5).tolist() and r["other"] == neardup.shingles(cls[r["dst"]].encode(), 5).tolist()
