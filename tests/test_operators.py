@@ -1,4 +1,5 @@
 import random
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -13,6 +14,7 @@ from corpuslens.operators import profile as P
 from corpuslens.operators import similarity as S
 from corpuslens.operators.components import connected_components
 from corpuslens.operators.ordering import positioned
+from corpuslens.session import SHUFFLE_CLEANUP, stage
 
 
 def corpus(n, seed):
@@ -140,3 +142,16 @@ def test_census(spark):
     assert (rate["resolved"], rate["unresolved"], rate["dead_pct"]) == (5, 1, 40.0) and abs(rate["ci"] - 42.941448508405024) < 1e-9
     history = spark.createDataFrame([("d1", 1), ("d2", 2)], "date string, n long")
     assert [tuple(r) for r in C.upserted(history, spark.createDataFrame([("d1", 9)], "date string, n long")).collect()] == [("d2", 2), ("d1", 9)]
+
+
+def test_stage_leaves_no_shuffle_files(spark):
+    """Files of a stage's shuffles must not wait for the driver's garbage collection, which may be late."""
+    held = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before, setting = held(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    out = stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "cleanup")
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before and spark.conf.get(SHUFFLE_CLEANUP, None) == setting
+    assert sorted(r["k"] for r in out.collect()) == list(range(7))
