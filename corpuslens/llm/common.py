@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one step of a Python operator holds at a time; a batch is cut into such slices.
 SLICE = 256
+#: Tables that this process fills and could fill again.
+TABLES: weakref.WeakValueDictionary[int, dict] = weakref.WeakValueDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -28,8 +31,14 @@ def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def refilled(table: dict) -> dict:
+    """The same table, which is emptied whenever a task ends; nothing but time may depend on what it holds."""
+    TABLES[id(table)] = table
+    return table
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Slices of batches; when they end, memory that the worker has freed goes back, as it waits for its next task beside others."""
+    """Slices of batches; when they end, tables are emptied and memory that the worker has freed goes back, as it waits for its next task beside others."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -38,6 +47,8 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
 
 
 def released() -> None:
+    for table in list(TABLES.values()):
+        table.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
         ctypes.CDLL(None).malloc_trim(0)

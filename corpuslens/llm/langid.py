@@ -26,12 +26,14 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import arrow_filter, arrow_map, id_bucket, sliced, utf8
+from corpuslens.llm.common import arrow_filter, arrow_map, id_bucket, released, sliced, utf8
 
 #: Rows that training reads at most.
 SAMPLE = 2000
 #: Hashed features, a power of two.
 BUCKETS = 4096
+#: Rows or columns that training works on at a time.
+BLOCK = 256
 #: Below this score a row is flagged as ambiguous.
 MARGIN = 0.5
 
@@ -64,6 +66,24 @@ def codewords(classes: int, seed: int = 5) -> np.ndarray:
     return max(found, key=lambda c: -np.max(c @ c.T - 2 * bits * np.eye(classes)))
 
 
+def invert(a: np.ndarray) -> None:
+    """Inverts a symmetric positive definite matrix in place, by Gauss-Jordan steps of a block; the library's call holds five matrices."""
+    for i in range(0, len(a), BLOCK):
+        k = slice(i, i + BLOCK)
+        pivot, columns = np.linalg.inv(a[k, k]), a[:, k].copy()
+        rows = pivot @ a[k]
+        for j in range(0, len(a), BLOCK):
+            a[j : j + BLOCK] -= columns[j : j + BLOCK] @ rows
+        a[:, k] = columns @ -pivot
+        a[k] = rows
+        a[k, k] = pivot
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b in b's precision, without a copy of all of a in it."""
+    return np.concatenate([a[i : i + BLOCK] @ b for i in range(0, len(a), BLOCK)])
+
+
 class Model:
     """Weights of the bit classifiers, the code and the bits' weights."""
 
@@ -72,11 +92,13 @@ class Model:
         if not langs:
             return
         bits = self.code[y]
-        inverse = np.linalg.inv(x @ x.T + ridge * np.eye(len(x), dtype=np.float32))
+        inverse = (x @ x.T).astype(float)
+        inverse.flat[:: len(x) + 1] += ridge
+        invert(inverse)
         dual = inverse @ bits
         # what each row would get if it had been left out, from the dual solution
         alone = bits - dual / inverse.diagonal()[:, None]
-        self.weights = (x.T @ dual).astype(np.float32)
+        self.weights = product(x.T, dual).astype(np.float32)
         right = (np.sign(alone) == bits).mean(axis=0)
         self.trust = np.maximum(2 * right - 1, 0.05)
 
@@ -102,12 +124,15 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     drawn = rows.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y = [np.zeros((0, BUCKETS), np.float32)], []
+        x, y = np.empty((each * len(counts), BUCKETS), np.float32), []
         for batch in sliced(batches):
-            x.append(np.stack([features(t) for t in utf8(batch, "text")]))
-            y += batch.column(1).cast(pa.string()).to_pylist()
+            for t, lang in zip(utf8(batch, "text"), batch.column(1).cast(pa.string()).to_pylist()):
+                x[len(y)] = features(t)
+                y.append(lang)
         langs = sorted(set(y))
-        model = Model(langs, np.concatenate(x), np.array([langs.index(k) for k in y], int))
+        model = Model(langs, x[: len(y)], np.array([langs.index(k) for k in y], int))
+        del x
+        released()
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     # learned in one task, of which Spark bounds the threads: the driver's own linear algebra may not survive the JVM's fork

@@ -18,7 +18,9 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer, pre_tokenizers
 
-#: Words that a worker's table holds at most; beyond that it starts anew.
+from corpuslens.llm.common import refilled
+
+#: Words that a worker's table holds at most; beyond that, and with each task, it starts anew.
 TABLE = 600_000
 #: Letters whose lower case and composed form don't depend on what is near.
 PLAIN = regex.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -54,7 +56,7 @@ class Encoder:
         self.dtype = f"<u{width}"
         self.id_bytes = [k.to_bytes(width, "little") for k in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.lower = "Lowercase" in str(self.tokenizer.normalizer)
-        self.table = Words(self)
+        self.table = refilled(Words(self))
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes_of = {chr(i): level.pre_tokenize_str(chr(i))[0][0] for i in range(32, 256) if chr(i).isprintable() or i == 32}
         self.marks = {x: self.whole(x) for x in (".", ",", "\n")}

@@ -1,16 +1,19 @@
 """Pieces of the operators by themselves."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from corpuslens.llm import brown, chat, hilbert, langid, media, mixing, packing, repetition, simhash, wavelet
+from corpuslens.llm.common import sliced
 from corpuslens.llm.tokens import encoder
 
 from .test_queries import best_fit
@@ -344,3 +347,26 @@ def test_ranks_of_repeated_rows(spark, monkeypatch):
     for r in got:
         by.setdefault(r["g"], []).append(r["rank"])
     assert {k: sorted(v) for k, v in by.items()} == {"a": list(range(32)), None: [0], "b": [0]}
+
+
+def test_a_task_that_ends_leaves_no_table_in_its_worker():
+    e = encoder()
+    ids = e.ids("one two three four")
+    assert e.table
+    assert [b.num_rows for b in sliced([pa.RecordBatch.from_pydict({"text": ["a", "b", "c"]})], 2)] == [2, 1]
+    assert not e.table
+    assert e.ids("one two three four") == ids
+
+
+def test_langid_fits_in_little_more_than_its_rows():
+    rng = np.random.default_rng(7)
+    y = np.arange(1200) % 4
+    x = np.sqrt(rng.dirichlet(np.full(langid.BUCKETS, 0.5), len(y)).astype(np.float32) + np.where(np.arange(langid.BUCKETS) % 4 == y[:, None], np.float32(1e-5), 0))
+    tracemalloc.start()
+    model = langid.Model(list("abcd"), x, y)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    square = 8 * len(y) ** 2
+    assert most < 2 * square < 1.2 * x.nbytes
+    weights = np.linalg.solve(x @ x.T.astype(float) + 0.03 * np.eye(len(y)), model.code[y])
+    assert np.allclose(model.weights, x.T @ weights, atol=1e-3)
