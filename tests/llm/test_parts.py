@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from corpuslens.llm import brown, chat, hilbert, langid, media, mixing, packing, repetition, simhash, wavelet
-from corpuslens.llm.common import sliced
+from corpuslens.llm.common import arrow_map, sliced
 from corpuslens.llm.tokens import encoder
 
 from .test_queries import best_fit
@@ -370,3 +370,9 @@ def test_langid_fits_in_little_more_than_its_rows():
     assert most < 2 * square < 1.2 * x.nbytes
     weights = np.linalg.solve(x @ x.T.astype(float) + 0.03 * np.eye(len(y)), model.code[y])
     assert np.allclose(model.weights, x.T @ weights, atol=1e-3)
+
+
+def test_batches_of_long_texts_are_small(spark):
+    df = spark.range(0, 12, 1, 1).selectExpr("id", "repeat('x', 1000000) as text")
+    seen = arrow_map(df, "n long", lambda batch: {"n": pa.array([batch.num_rows], pa.int64())}, rows=100).collect()
+    assert sum(r["n"] for r in seen) == 12 and max(r["n"] for r in seen) <= 3
