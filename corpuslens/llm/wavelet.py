@@ -176,16 +176,16 @@ def write_shards(docs: DataFrame, path: str, end: int = 2, tokenizer: str = "wor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_of, part = encoder(tokenizer, 2, vocabulary).ids, TaskContext.get().partitionId()
+        each, part = encoder(tokenizer, 2, vocabulary).each, TaskContext.get().partitionId()
         ids, texts, size, seq = [], [], 0, 0
 
         def close() -> pa.RecordBatch:
             file = dump(ids, [len(x) // 2 for x in texts], np.frombuffer(b"".join(texts), "<u2"))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([size], pa.int64()), "file": pa.array([file], pa.binary())})
 
-        for batch in sliced(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = ids_of(text or "") + last
+        for batch in sliced(batches, 1024):
+            for doc, own in zip(batch.column(0).to_pylist(), each([x or "" for x in batch.column(1).to_pylist()])):
+                own += last
                 ids.append(doc)
                 texts.append(own)
                 size += len(own) // 2

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from corpuslens.llm import brown, chat, hilbert, langid, media, mixing, packing, repetition, simhash, wavelet
+from corpuslens.llm import brown, chat, hilbert, langid, media, mixing, packing, repetition, simhash, tokens, wavelet
 from corpuslens.llm.common import arrow_map, sliced
 from corpuslens.llm.tokens import encoder
 
@@ -129,6 +129,25 @@ def test_tokens_equal_the_tokenizer_on_any_text(text):
         assert encoder(name, width).ids(text) == encoder(name, width).whole(text)
 
 
+@given(st.lists(st.text(alphabet=list("adelmrstv''AÉßÿ×µ\xa0\x1c’Σ. \n\t12<"), max_size=30), max_size=12), st.sampled_from([1, 9, 40, 1 << 21]), st.sampled_from([2, 600_000]))
+@settings(max_examples=300, deadline=None)
+def test_many_texts_equal_the_tokenizer(texts, group, table):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tokens, "GROUP", group)
+        patch.setattr(tokens, "TABLE", table)
+        for name, width in (("byte_bpe_50k.json", 4), ("word_bpe_49k.json", 2)):
+            assert list(encoder(name, width).each(texts)) == [encoder(name, width).whole(t) for t in texts]
+
+
+def test_forms_of_a_word_are_merged_once():
+    e = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), 2)
+    plain, seen = e.tokenize, []
+    e.tokenize = lambda piece: seen.append(piece) or plain(piece)
+    texts = ["Zorblat zorblat. ZORBLAT, (zorblat)\n", "zorblat's <|endoftext|>", "", "zorblat's çà ÇÀ."]
+    assert list(e.each(texts)) == [e.whole(t) for t in texts]
+    assert sorted(seen) == sorted(["zorblat", ".", ",", "(", ")", "'s", "Ã§Ãł"])
+
+
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(2)
     of = rng.integers(1, 4, 60)
