@@ -9,10 +9,11 @@ encoded whole. So are texts that hold the string of an added token: as in the
 library's plain call, it then becomes that token's id.
 
 Many texts go at once (`each`) where the vocabulary cuts by the rules of
-`cut_pieces`: those of plain characters are lowered and cut into its own pieces
-as arrays of bytes, each distinct piece of a group is looked up once, and only
-pieces that no group of the task had are merged. Other texts go one by one, as
-above.
+`cut_pieces`: plain characters are lowered and cut into its own pieces as arrays
+of bytes, each distinct piece of a group is looked up once, and only pieces that
+no group of the task had are merged. Words with any other character are encoded
+by themselves, each in its place; texts with an added token, very long ones and
+those with many other characters go one by one, as above.
 """
 
 from __future__ import annotations
@@ -36,10 +37,13 @@ PLAIN = regex.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 EDGED = regex.compile(r"\n?\S(?:.*\S)?", regex.DOTALL)
 #: Bytes of texts that are cut at once; longer texts go one by one.
 GROUP = 1 << 21
+#: Texts in which one of so many characters is not plain go one by one.
+DENSE = 8
 #: Latin-1 characters whose case, composed form and kind are the same by any rule: letters, visible ASCII and white space.
 LETTERS = bytes(b for b in [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)] if b not in b"\xd7\xf7")
 BLANKS = b"\t\n\r "
 PLAIN_BYTES = bytes({*BLANKS, *range(33, 127), *LETTERS})
+IS_PLAIN, IS_BLANK = np.isin(np.arange(257), list(PLAIN_BYTES)), np.isin(np.arange(257), list(BLANKS))
 LOWER = bytes(ord(chr(b).lower()) if b in LETTERS else b for b in range(256))
 BLANK, LETTER, DIGIT, MARK = range(4)
 KIND = np.array([LETTER if b in LETTERS else DIGIT if b in b"0123456789" else BLANK if b in BLANKS else MARK for b in range(256)], np.uint8)
@@ -148,15 +152,29 @@ class Encoder:
         except Ragged:
             return self.whole(text)
 
-    def plain(self, text: str) -> bytes | None:
-        """The text in lower case, a byte for each character, if it can be cut as an array."""
-        if not self.pieced or len(text) > GROUP:
+    def plain(self, text: str) -> tuple[bytes, list[str]] | None:
+        """The text in lower case, a byte for each character, and its words with other than plain ones, each a byte 0 there; None if it can't be cut as an array."""
+        if not self.pieced or len(text) > GROUP or any(x in text for x in self.added):
             return None
         try:
             row = text.encode("latin-1")
         except UnicodeEncodeError:
+            row = b"\0"
+        if not row.translate(None, PLAIN_BYTES):
+            return row.translate(LOWER), []
+        codes = np.minimum(np.frombuffer(text.encode("utf-32-le"), "<u4"), 256)
+        other = np.flatnonzero(~IS_PLAIN[codes])
+        if len(other) > len(text) // DENSE:
             return None
-        return None if row.translate(None, PLAIN_BYTES) or any(x in text for x in self.added) else row.translate(LOWER)
+        blanks = np.flatnonzero(IS_BLANK[codes])
+        odd = np.unique(np.searchsorted(blanks, other))
+        first, end = np.append(0, blanks + 1)[odd], np.append(blanks, len(codes))[odd]
+        codes[first] = 0
+        edges = np.zeros(len(codes) + 1, np.int8)
+        edges[first + 1] += 1
+        edges[end] -= 1
+        row = codes[np.cumsum(edges[:-1], dtype=np.int8) == 0].astype(np.uint8).tobytes()
+        return row.translate(LOWER), [text[i:j] for i, j in zip(first.tolist(), end.tolist())]
 
     def merged(self, pieces: list[bytes]) -> Iterator[bytes]:
         """Ids of pieces."""
@@ -176,8 +194,8 @@ class Encoder:
         rest = iter(found)
         return [next(rest) if ids is None else ids for ids in own]
 
-    def group(self, rows: list[bytes]) -> list[bytes]:
-        """Ids of plain rows: their distinct pieces', put where the pieces are."""
+    def group(self, rows: list[bytes], odd: list[str]) -> list[bytes]:
+        """Ids of rows: their distinct pieces', put where the pieces are, and those of odd words where a 0 is."""
         whole = b"\n".join([*rows, b"\n"])
         data = np.frombuffer(whole, np.uint8)
         starts, visible = cut_pieces(data), whole.translate(None, BLANKS)
@@ -186,6 +204,10 @@ class Encoder:
         offsets = np.append(np.flatnonzero(starts[KIND[data] != BLANK]), len(visible)).astype("<i8")
         words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(visible)]).dictionary_encode()
         own, which = self.known(words.dictionary.to_numpy(zero_copy_only=False).tolist()), words.indices.to_numpy()
+        if odd:
+            which = which.copy()
+            which[np.frombuffer(visible, np.uint8)[offsets[:-1]] == 0] = len(own) + np.arange(len(odd))
+            own += map(self.table.__getitem__, odd)
         pool = np.frombuffer(b"".join(own), self.dtype)
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // pool.itemsize
         n, before = sizes[which], np.cumsum(sizes) - sizes
@@ -197,21 +219,22 @@ class Encoder:
 
     def each(self, texts: list[str]) -> Iterator[bytes]:
         """ids of every text, in order."""
-        rows, size, wait = [], 0, []  # wait: what goes out with the rows, None for a row
+        rows, odd, size, wait = [], [], 0, []  # wait: what goes out with the rows, None for a row
 
         def out() -> Iterator[bytes]:
-            ids = iter(self.group(rows) if rows else ())
+            ids = iter(self.group(rows, odd) if rows else ())
             return (next(ids) if x is None else x for x in wait)
 
         for text in texts:
-            row = self.plain(text)
-            wait.append(self.ids(text) if row is None else None)
-            if row is not None:
-                rows.append(row)
-                size += len(row)
+            found = self.plain(text)
+            wait.append(self.ids(text) if found is None else None)
+            if found:
+                rows.append(found[0])
+                odd += found[1]
+                size += len(text)
             if size >= GROUP:
                 yield from out()
-                rows, size, wait = [], 0, []
+                rows, odd, size, wait = [], [], 0, []
         yield from out()
 
 

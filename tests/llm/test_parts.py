@@ -148,6 +148,23 @@ def test_forms_of_a_word_are_merged_once():
     assert sorted(seen) == sorted(["zorblat", ".", ",", "(", ")", "'s", "Ã§Ãł"])
 
 
+@given(st.lists(st.text(alphabet=list("adelst''AÉß×µ\xa0\u2028\u0301’Σ. \n\t\r12"), max_size=30), max_size=12), st.sampled_from([9, 1 << 21]))
+@settings(max_examples=300, deadline=None)
+def test_many_texts_with_other_characters_equal_the_tokenizer(texts, group):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tokens, "GROUP", group)
+        patch.setattr(tokens, "DENSE", 1)
+        e = encoder("word_bpe_49k.json", 2)
+        assert list(e.each(texts)) == [e.whole(t) for t in texts]
+
+
+def test_other_characters_leave_the_rest_of_a_text_in_the_group(monkeypatch):
+    e = encoder("word_bpe_49k.json", 2)
+    monkeypatch.setattr(e, "ids", lambda text: pytest.fail("one by one"))
+    texts = ["a “quoted” word, and many that are not, in a long enough line", "plain", "the end’s here: other words\tmay\rfollow it as they did before…"]
+    assert list(e.each(texts)) == [e.whole(t) for t in texts]
+
+
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(2)
     of = rng.integers(1, 4, 60)
