@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.session import small_batches
+
 #: Rows that one step of a Python operator holds at a time; a batch is cut into such slices.
 SLICE = 256
-#: Bytes of a batch that Spark hands to Python, and their setting; its own 64 MB are held by the JVM and the worker of every task.
-BATCH, BATCH_SETTING = "2m", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Tables that this process fills and could fill again.
 TABLES: weakref.WeakValueDictionary[int, dict] = weakref.WeakValueDictionary()
 
@@ -56,12 +56,6 @@ def released() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the batches of the session, unless it has a bound of its own; stays set, as frames run when the caller asks for their rows."""
-    if spark.conf.get(BATCH_SETTING, None) is None:
-        spark.conf.set(BATCH_SETTING, BATCH)
-
-
 def arrow_map(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict[str, object]], rows: int = SLICE) -> DataFrame:
     """Applies fn to slices of df; fn returns columns by name, in the order of schema."""
 

@@ -1,10 +1,12 @@
 import random
 import time
+import zlib
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpuslens.functions import text as X
 from corpuslens.operators import census as C
 from corpuslens.operators import clusters as K
 from corpuslens.operators import curve as V
@@ -14,7 +16,7 @@ from corpuslens.operators import profile as P
 from corpuslens.operators import similarity as S
 from corpuslens.operators.components import connected_components
 from corpuslens.operators.ordering import positioned
-from corpuslens.session import SHUFFLE_CLEANUP, stage
+from corpuslens.session import BATCH, BATCH_SETTING, SHUFFLE_CLEANUP, stage
 
 
 def corpus(n, seed):
@@ -155,3 +157,40 @@ def test_stage_leaves_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not held() - before and spark.conf.get(SHUFFLE_CLEANUP, None) == setting
     assert sorted(r["k"] for r in out.collect()) == list(range(7))
+
+
+def test_only_classes_of_candidates_are_made_into_sets(spark, monkeypatch):
+    """Sets and shingles of all classes are never staged, so that what is written grows with the text and with the pairs."""
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(50)) for _ in range(30))) for k in range(60)]
+    rows.append((60, rows[7][1] + " tail"))
+    staged, side = {}, S.staged_classes(spark.createDataFrame(rows, "row_idx long, text string"), "text", "row_idx")
+
+    def counted(df, name):
+        staged[name] = stage(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(S, "stage", counted)
+    assert [(r["i"], r["j"]) for r in S.exact_pairs(side, 0.7).collect()] == [(7, 60)]
+    assert staged["hashed"].count() == 2 and "shared" not in staged
+    S.staged_classes(spark.createDataFrame(rows, "row_idx long, text string"), "text", "row_idx")
+    assert "shingles" not in staged["classes"].columns
+
+
+def test_banded_pairs_send_hashes_and_signatures_small_batches(spark, monkeypatch):
+    rows = [(k, f"a b c d e f g h {k % 3} x y z {k}") for k in range(12)]
+    side, staged = S.staged_classes(spark.createDataFrame(rows, "row_idx long, text string"), "text", "row_idx"), {}
+
+    def counted(df, name):
+        staged[name] = stage(df, name)
+        return staged[name]
+
+    spark.conf.unset(BATCH_SETTING)
+    monkeypatch.setattr(S, "stage", counted)
+    got = {(r["i"], r["j"]) for r in S.banded_pairs(side, 0.5).collect()}
+    assert got and got <= {(i, j) for i, j in brute(rows, rows, 0.5) if i < j}
+    assert spark.conf.get(BATCH_SETTING) == BATCH
+    assert dict(staged["bands"].dtypes) == {"id": "bigint", "key": "bigint"} and dict(staged["hashed"].dtypes)["h"] == "array<bigint>"
+    crcs = {i: {zlib.crc32(" ".join(w).encode()) for w in sets(t)} for i, t in rows}
+    want = {i: [min((a * h + b) % X.PRIME for h in own) for a, b in X.permutations()] for i, own in crcs.items()}
+    assert {r["id"]: r["sig"] for r in S.signatures(side).collect()} == want
